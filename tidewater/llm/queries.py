@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontaminate, secrets, token_counts
+from tidewater.llm import bpe, decontaminate, secrets, simhash, token_counts
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -25,6 +25,10 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op6_secret_scan, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_simhash_near_dedup, op6_secret_scan, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
