@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontaminate, language, secrets, simhash, token_counts
+from tidewater.llm import bpe, decontaminate, language, minhash, secrets, simhash, token_counts
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -33,6 +33,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_report(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_simhash_near_dedup, op4_language_id, op6_secret_scan, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_simhash_near_dedup, op4_language_id, op5_minhash_fingerprints, op6_secret_scan, op8_token_counts, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
