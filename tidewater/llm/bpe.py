@@ -39,8 +39,8 @@ NEWER = (
     r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
     r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-#: Pre-tokens kept per Python worker, and the longest that is kept.
-CACHE_SIZE, CACHE_WORD = 400_000, 64
+#: Pre-tokens in a generation of the cache of a Python worker (two are kept), and the longest that is kept.
+CACHE_SIZE, CACHE_WORD = 250_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -61,11 +61,17 @@ class Tokenizer:
         alphabet = byte_alphabet()
         to_byte = {c: b for b, c in alphabet.items()}
         self.byte_id = [vocab[alphabet[b]] for b in range(256)]
-        #: left << 20 | right: rank << 20 | merged
-        self.pairs: dict[int, int] = {}
+        #: left << 20 | right to rank << 32, and back from the rank; what the rank's merge makes
+        self.ranks: dict[int, int] = {}
+        self.pair_of: list[int] = []
+        self.merged_of: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
+            self.pair_of.append(vocab[a] << 20 | vocab[b])
+            self.merged_of.append(vocab[a + b])
+            self.ranks.setdefault(self.pair_of[-1], rank << 32)
+        #: the same for two bytes, by first << 8 | second; -1 where they don't merge
+        self.byte_ranks = [self.ranks.get(a << 20 | b, -1) for a in self.byte_id for b in self.byte_id]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.strings = {
@@ -81,43 +87,37 @@ class Tokenizer:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if longest_first else None
         self.words = _Words(self)
+        self.strings_array = pa.array([self.strings.get(i, b"") for i in range(max(self.strings) + 1)], pa.binary())
 
     def split(self, text: str) -> list[str]:
         return self.split_known(text) if text.isascii() or not self.has_newer(text) else self.split_newer(text)
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        symbols = [self.byte_id[b] for b in word]
-        n, pairs = len(symbols), self.pairs
-        heap = [
-            (m >> 20) << 32 | i for i in range(n - 1) if (m := pairs.get(symbols[i] << 20 | symbols[i + 1])) is not None
-        ]
+        """The ids of one pre-token.  A queue entry is rank << 32 | place of the left symbol."""
+        first, ids, rank_of, pair_of = self.byte_ranks, self.byte_id, self.ranks.get, self.pair_of
+        heap = [r | i for i, (a, b) in enumerate(zip(word, word[1:], strict=False)) if (r := first[a << 8 | b]) >= 0]
+        symbols = [ids[b] for b in word]
         if not heap:
             return symbols
         heapify(heap)
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             entry = heappop(heap)
             i = entry & 0xFFFFFFFF
-            left, j = symbols[i], after[i]
-            if left < 0 or j >= n:
-                continue
-            m = pairs.get(left << 20 | symbols[j])
-            if m is None or m >> 20 != entry >> 32:
-                continue  # stale
-            merged = symbols[i] = m & 0xFFFFF
+            j = after[i]
+            if j >= n or symbols[i] << 20 | symbols[j] != pair_of[entry >> 32]:
+                continue  # stale: the pair is no longer there
+            merged = symbols[i] = self.merged_of[entry >> 32]
             symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                m = pairs.get(merged << 20 | symbols[k])
-                if m is not None:
-                    heappush(heap, (m >> 20) << 32 | i)
+                if (r := rank_of(merged << 20 | symbols[k])) is not None:
+                    heappush(heap, r | i)
             h = before[i]
-            if h >= 0:
-                m = pairs.get(symbols[h] << 20 | merged)
-                if m is not None:
-                    heappush(heap, (m >> 20) << 32 | h)
+            if h >= 0 and (r := rank_of(symbols[h] << 20 | merged)) is not None:
+                heappush(heap, r | h)
         return [s for s in symbols if s >= 0]
 
     def encode_packed(self, text: str) -> bytes:
@@ -139,17 +139,35 @@ class Tokenizer:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The texts of many lists of ids: the vocabulary strings are taken one after the
+        other, and so already stand concatenated in the buffer of what is taken."""
+        taken = self.strings_array.take(lists.flatten())
+        ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
+        counts = np.zeros(len(lists) + 1, np.int64)
+        np.cumsum(lists.value_lengths().fill_null(0), out=counts[1:])
+        texts = pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(ends[counts].tobytes()), taken.buffers()[2]])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # ids that no text has
+            return pa.array([self.decode(x or []) for x in lists.to_pylist()], pa.string())
+        return texts
+
 
 class _Words(dict):
-    """Pre-token to packed ids, of bounded size."""
+    """Pre-token to packed ids.  When it is full its content becomes the older generation,
+    from which words in use come back, and the generation before that goes."""
 
     def __init__(self, owner: Tokenizer):
-        self.owner = owner
+        self.owner, self.older = owner, {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = array("i", self.owner.merge(word.encode())).tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            packed = array("i", self.owner.merge(word.encode())).tobytes()
         if len(word) <= CACHE_WORD:
             if len(self) >= CACHE_SIZE:
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed
@@ -179,8 +197,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, ``ids`` and ``decoded string``, for every row; null ids decode to the empty string."""
 
     def batch(b: pa.RecordBatch) -> dict[str, object]:
-        tok = tokenizer(path)
-        return {"decoded": pa.array([tok.decode(x or []) for x in b.column(1).to_pylist()], pa.string())}
+        return {"decoded": tokenizer(path).decode_lists(b.column(1))}
 
     return map_batches(encoded.select(id_col, "ids"), batch, [T.StructField("decoded", T.StringType())], [id_col, "ids"])
 

@@ -43,6 +43,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Bytes of a batch that an operator's function sees at once.
+SLICE_BYTES = 8_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about SLICE_BYTES at most, so that what a worker holds
+    doesn't depend on how long the texts are."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], dict[str, object]],
@@ -55,7 +68,7 @@ def map_batches(
     names = [f.name for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = fn(batch)
             columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays(columns + [out[n] for n in names], keep + names)
