@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontaminate, language, minhash, secrets, simhash, token_counts
+from tidewater.llm import bpe, decontaminate, language, minhash, pii, secrets, simhash, token_counts, toxicity
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -41,6 +41,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -49,8 +53,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_simhash_near_dedup, op4_language_id, op5_minhash_fingerprints, op6_secret_scan, op8_token_counts, op9_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_simhash_near_dedup, op4_language_id, op5_minhash_fingerprints, op6_secret_scan, op7_toxicity, op8_token_counts, op9_decontamination, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
