@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -179,27 +180,28 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``ids array<int>``, for every row."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``id_col``, the columns in ``keep`` and ``ids array<int>``, for every row."""
 
     def batch(b: pa.RecordBatch) -> dict[str, object]:
-        packed = list(map(tokenizer(path).encode_packed, b.column(1).to_pylist()))
+        packed = list(map(tokenizer(path).encode_packed, b.column(b.num_columns - 1).to_pylist()))
         offsets = np.zeros(len(packed) + 1, np.int32)
         np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
         values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
         return {"ids": pa.ListArray.from_arrays(pa.array(offsets), values)}
 
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
-    return map_batches(rows, batch, [T.StructField("ids", T.ArrayType(T.IntegerType()))], [id_col])
+    rows = docs.select(id_col, *keep, text_of(text_col).alias("_text"))
+    return map_batches(rows, batch, [T.StructField("ids", T.ArrayType(T.IntegerType()))], [id_col, *keep])
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``ids`` and ``decoded string``, for every row; null ids decode to the empty string."""
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``id_col``, the columns in ``keep``, ``ids`` and ``decoded string``, for every row; null
+    ids decode to the empty string."""
 
     def batch(b: pa.RecordBatch) -> dict[str, object]:
-        return {"decoded": tokenizer(path).decode_lists(b.column(1))}
+        return {"decoded": tokenizer(path).decode_lists(b.column(b.num_columns - 1))}
 
-    return map_batches(encoded.select(id_col, "ids"), batch, [T.StructField("decoded", T.StringType())], [id_col, "ids"])
+    return map_batches(encoded.select(id_col, *keep, "ids"), batch, [T.StructField("decoded", T.StringType())], [id_col, *keep, "ids"])
 
 
 def roundtrip_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -22,16 +22,15 @@ from __future__ import annotations
 
 import re
 import uuid
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import field, map_batches, text_of
+from tidewater.llm.common import map_batches, text_of
 
 #: UTF-8 bytes of patterns in one automaton (a node takes some 40 bytes, and so at most some 160 MB).
 BLOCK_BYTES = 4_000_000
@@ -114,6 +113,26 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int
     return [{"start": place(a), "end": place(b)} for a, b in spans]
 
 
+def shared_blocks(spark: SparkSession, items: DataFrame, window: int, block_bytes: int) -> list:
+    return [(name, spark.sparkContext.broadcast(part)) for name, part in blocks(item_windows(items, window), block_bytes)]
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs."""
+    held = shared_blocks(docs.sparkSession, items, window, block_bytes)
+
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        kept = np.ones(len(texts), bool)
+        for name, shared in held:
+            found = automaton(name, shared.value)
+            for k in np.flatnonzero(kept).tolist():
+                kept[k] = not scan(texts[k].as_py(), found)[1]
+        return pa.array(kept)
+
+    return docs.where(clean(text_of(text_col)))
+
+
 def find(
     docs: DataFrame,
     items: DataFrame,
@@ -124,6 +143,7 @@ def find(
 ) -> DataFrame:
     """For every row: ``id_col``, ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings) and
     ``spans``, the hit passages in the original text."""
+    held = shared_blocks(docs.sparkSession, items, window, block_bytes)
     added = [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
@@ -131,8 +151,6 @@ def find(
         T.StructField("spans", T.ArrayType(SPAN)),
     ]
     types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-    context = docs.sparkSession.sparkContext
-    held = [(name, context.broadcast(part)) for name, part in blocks(item_windows(items, window), block_bytes)]
 
     def batch(b: pa.RecordBatch) -> dict[str, object]:
         texts = b.column(1).to_pylist()

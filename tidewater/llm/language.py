@@ -149,6 +149,18 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str
     return map_batches(rows, batch, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], keep)
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is unknown: no letters, or no n-gram that any
+    profile has."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.arrow_udf(T.BooleanType())
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.predict(t.as_py())[0] != UNKNOWN for t in texts], pa.bool_())
+
+    return docs.where(known(text_of(text_col)))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontaminate, language, minhash, pii, secrets, simhash, token_counts, toxicity
+from tidewater.llm import bpe, decontaminate, language, licenses, minhash, pii, secrets, simhash, token_counts, toxicity
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -29,6 +29,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,19 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_simhash_near_dedup, op4_language_id, op5_minhash_fingerprints, op6_secret_scan, op7_toxicity, op8_token_counts, op9_decontamination, op10_pii_surrogates)}
+    found = (
+        op1_bpe_roundtrip,
+        op2_simhash_near_dedup,
+        op3_license_scan,
+        op4_language_id,
+        op5_minhash_fingerprints,
+        op6_secret_scan,
+        op7_toxicity,
+        op8_token_counts,
+        op9_decontamination,
+        op10_pii_surrogates,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
