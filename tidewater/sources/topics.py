@@ -44,6 +44,20 @@ def line_attempts(spark: SparkSession, sf_dir: str, partitions: int = 4) -> Data
     )
 
 
+def order_attempts(spark: SparkSession, sf_dir: str, partitions: int = 4) -> DataFrame:
+    """Orders as attempts: customers are producers, the order's date is when it is due."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("arrival_seq"),
+        F.pmod("o_custkey", F.lit(partitions)).cast("int").alias("partition"),
+        F.col("o_custkey").alias("producer_id"),
+        F.col("o_orderkey").alias("sequence"),
+        (F.col("o_orderkey") % 2000).alias("message_id"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("due_ms"),
+        F.floor("o_totalprice").cast("long").alias("bytes"),
+    )
+
+
 def read_log(spark: SparkSession, path: str, partitions: list[int] | None = None) -> DataFrame:
     """A stored log; a choice of partitions reads only their folders."""
     log = spark.read.schema(RECORDS).parquet(path)
