@@ -44,14 +44,14 @@ def text_of(name: str = "text") -> Column:
 
 
 #: Bytes of a batch that an operator's function sees at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about SLICE_BYTES at most, so that what a worker holds
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes at most, so that what a worker holds
     doesn't depend on how long the texts are."""
     for batch in batches:
-        rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

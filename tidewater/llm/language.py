@@ -36,6 +36,8 @@ from tidewater.llm.common import map_batches, slices, text_of
 #: Ranks of a profile, n-grams of a document that are compared, rows of a language that teach, longest n-gram.
 RANKS, COMPARED, SAMPLE, LONGEST = 400, 300, 20_000, 3
 UNKNOWN = "und"
+#: Stands for the blank in packed n-grams; not 0, so that n-grams of different lengths differ.
+BLANK = 1
 
 
 @lru_cache(maxsize=1)
@@ -45,19 +47,19 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """All n-grams of a text, packed: 21 bits a letter, 0 for the blank at a word's end."""
+    """All n-grams of a text, packed: 21 bits a letter, BLANK at a word's end."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     keep = letters()[codes]
     if not keep.any():
         return np.empty(0, np.int64)
     # every run of other characters becomes one blank, and one stands at either end
-    padded = np.zeros(len(codes) + 2, np.int64)
-    padded[1:-1] = np.where(keep, codes, 0)
+    padded = np.full(len(codes) + 2, BLANK, np.int64)
+    padded[1:-1] = np.where(keep, codes, BLANK)
     here = np.ones(len(padded), bool)
-    here[1:] = (padded[1:] != 0) | (padded[:-1] != 0)
+    here[1:] = (padded[1:] != BLANK) | (padded[:-1] != BLANK)
     c = padded[here]
-    out, gram, valid = [c[c != 0]], c, np.ones(len(c), bool)
-    inner = c != 0
+    inner = c != BLANK
+    out, gram, valid = [c[inner]], c, np.ones(len(c), bool)
     for n in range(2, LONGEST + 1):
         gram = (gram[:-1] << 21) | c[n - 1 :]
         valid = valid[:-1] & (inner[n - 2 : -1] if n > 2 else True)
@@ -105,7 +107,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
 
     def count(batches):
         held: dict[str, dict[int, int]] = {}
-        for b in slices(batches):
+        for b in slices(batches, 1_000_000):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(ngrams(text))
@@ -114,7 +116,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
                 own = held.setdefault(lang, {})
                 for v, n in zip(values.tolist(), counts.tolist(), strict=True):
                     own[v] = own.get(v, 0) + n
-            if sum(map(len, held.values())) > 300_000:
+            if sum(map(len, held.values())) > 100_000:
                 yield from _rows(held)
                 held = {}
         yield from _rows(held)
