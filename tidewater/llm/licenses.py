@@ -6,7 +6,7 @@ licence sentences, which gives an identifier with the versions it mentions.  The
 of identifiers is matched against rules, in order, the more specific first; a rule takes
 the identifiers that it matches.  Identifiers that no rule takes are reported as loose.
 
-A sentence ends at a full stop, question or exclamation mark before white space, at a colon
+A sentence ends at a full stop (but that of "v."), question or exclamation mark before white space, at a colon
 before a line's end, or at an empty line.  A line break inside a sentence may also be a boundary: the longest run of
 whole lines that is a known sentence counts.
 
@@ -121,7 +121,7 @@ def normalised(sentence: str) -> tuple[str, tuple[str, ...]]:
 
 KNOWN = {normalised(s)[0]: name for name, sentences in SENTENCES.items() for s in sentences}
 LONGEST = max(len(k.split(" ")) for k in KNOWN)
-_END = re.compile(r"[.!?]+(?=\s|$)|:(?=[ \t]*\n)|\n[ \t]*(?=\n)")
+_END = re.compile(r"(?<!\bv)[.!?]+(?=\s|$)|:(?=[ \t]*\n)|\n[ \t]*(?=\n)")
 
 
 def sentences_of(text: str) -> list[list[tuple[int, int]]]:
