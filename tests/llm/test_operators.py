@@ -150,6 +150,14 @@ def test_language_is_learnt(docs, texts):
     assert language.keep_known(docs, language.learn(docs)).count() == len(texts)
 
 
+def test_language_of_texts_without_letters(spark, docs):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "12 ..\u0301"), (4, "кошка"), (5, "the and that with")], "doc_id long, text string")
+    profiles = language.learn(docs)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(rows, profiles, ["doc_id"]).collect()}
+    assert out[1] == out[2] == out[3] == ("und", 0.0) and out[4] == ("de", 0.0) and out[5][0] == "en"
+    assert {r.doc_id for r in language.keep_known(rows, profiles).collect()} == {5}
+
+
 def test_language_distance_by_brute_force():
     """Ranks and out-of-place distance as plain Python has them."""
 

@@ -12,9 +12,9 @@ Profiles are learnt in Spark from at most about ``sample`` rows of each language
 a hash of the text; only row counts and profiles (languages x ranks) reach the driver.
 
 Cases: null, empty and letterless texts are ``und`` with score 0; whole texts are ranked;
-ties between n-grams go to the smaller n-gram, between languages to the first by name;
-rows without language teach nothing; if nothing can be learnt every text is ``und``; only
-the named columns are read.
+ties between n-grams go to the smaller n-gram, between languages to the first by name (so
+does, with score 0, a text of which no profile has any n-gram); rows without language teach
+nothing; if nothing can be learnt every text is ``und``; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -42,16 +42,17 @@ BLANK = 1
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """By code point, whether it belongs to a word: letters and the marks on them."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)], bool)
+    """By code point 1 for a letter, 2 for a mark, which belongs to a word with it, 0 for others."""
+    return np.array([" LM".find(unicodedata.category(chr(c))[0]) for c in range(sys.maxunicode + 1)], np.int8).clip(0)
 
 
 def ngrams(text: str) -> np.ndarray:
     """All n-grams of a text, packed: 21 bits a letter, BLANK at a word's end."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    keep = letters()[codes]
-    if not keep.any():
+    kind = letters()[codes]
+    if not (kind == 1).any():
         return np.empty(0, np.int64)
+    keep = kind > 0
     # every run of other characters becomes one blank, and one stands at either end
     padded = np.full(len(codes) + 2, BLANK, np.int64)
     padded[1:-1] = np.where(keep, codes, BLANK)
@@ -90,11 +91,13 @@ class Profiles:
         away = np.where(place < RANKS, np.abs(place - np.arange(len(own))), RANKS).sum(axis=1) / (RANKS * len(own))
         order = np.argsort(away, kind="stable")
         first = float(away[order[0]])
-        if first >= 1:
-            return UNKNOWN, 0.0
         second = float(away[order[1]]) if len(order) > 1 else 1.0
         return self.languages[order[0]], (1 - first / second if second > 0 else 0.0)
 
+    def knows(self, text: str) -> bool:
+        """Whether any profile has any n-gram of the text."""
+        return bool(np.isin(ranked(ngrams(text), COMPARED), self.grams).any())
+
 
 def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> Profiles:
     """Profiles from the rows for which ``teaches`` holds and that have a language."""
@@ -158,7 +161,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> D
 
     @F.arrow_udf(T.BooleanType())
     def known(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.predict(t.as_py())[0] != UNKNOWN for t in texts], pa.bool_())
+        return pa.array([shared.value.knows(t.as_py()) for t in texts], pa.bool_())
 
     return docs.where(known(text_of(text_col)))
 
