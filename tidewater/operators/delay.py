@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.operators import ordering
 from tidewater.schemas import Error
 
+#: Milliseconds of release keys in a block.
+HOUR = 3_600_000
+
 
 def schedule(attempts: DataFrame, max_delay_ms: int) -> DataFrame:
     """Adds ``release_ms`` (due, but not before acceptance), ``error_code`` for a due time past
@@ -22,8 +24,7 @@ def schedule(attempts: DataFrame, max_delay_ms: int) -> DataFrame:
 def release(held: DataFrame, now_ms: int, next_offsets: DataFrame | None = None) -> DataFrame:
     """The records due at ``now_ms`` in order of release key, with offsets."""
     due = held.where(F.col("release_ms") <= now_ms)
-    w = Window.partitionBy("partition").orderBy("release_ms", "schedule")
-    out = due.withColumn("offset", F.row_number().over(w).cast("long") - 1)
+    out = ordering.position(due, ["partition"], ["release_ms", "schedule"], "offset", HOUR)
     if next_offsets is None:
         return out
     return out.join(next_offsets, "partition", "left").withColumn("offset", F.col("offset") + F.coalesce("next_offset", F.lit(0))).drop("next_offset")
@@ -36,8 +37,7 @@ def merged_log(immediate: DataFrame, released: DataFrame) -> DataFrame:
     both = immediate.select("partition", F.col("append_ms").alias("effective_ms"), F.lit(1).alias("class"), F.col("arrival_seq").alias("seq"), "message_id").unionByName(
         released.select("partition", F.col("release_ms").alias("effective_ms"), F.lit(0).alias("class"), F.col("schedule").alias("seq"), "message_id")
     )
-    w = Window.partitionBy("partition").orderBy("effective_ms", "class", "seq")
-    return both.withColumn("offset", F.row_number().over(w).cast("long") - 1)
+    return ordering.position(both, ["partition"], ["effective_ms", "class", "seq"], "offset", HOUR)
 
 
 def still_held(held: DataFrame, now_ms: int) -> DataFrame:

@@ -35,11 +35,13 @@ def _joined(blocked: DataFrame, carried: DataFrame, keys: Sequence[str]) -> Data
     return blocked.join(carried, same).drop("_b", *(f"_k{i}" for i in range(len(keys))))
 
 
-def position(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds the 0-based dense position of each row by ``order`` within ``keys``."""
-    blocked = _blocks(df, order, block)
+def position(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str, block: int = BLOCK) -> DataFrame:
+    """Adds the 0-based dense position of each row by ``order`` within ``keys``; of several
+    order columns the first is cut into blocks."""
+    order = [order] if isinstance(order, str) else list(order)
+    blocked = _blocks(df, order[0], block)
     carried = _carried(blocked, keys, F.count("*"), F.sum)
-    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)).cast("long") - 1
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)).cast("long") - 1
     return _joined(blocked, carried, keys).withColumn(name, F.coalesce("_carried", F.lit(0)) + inside).drop("_block", "_carried")
 
 
