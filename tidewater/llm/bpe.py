@@ -41,7 +41,7 @@ NEWER = (
     r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 #: Pre-tokens in a generation of the cache of a Python worker (two are kept), and the longest that is kept.
-CACHE_SIZE, CACHE_WORD = 250_000, 64
+CACHE_SIZE, CACHE_WORD = 150_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -180,18 +180,33 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def encode_batch(path: str, texts: pa.Array) -> pa.ListArray:
+    packed = list(map(tokenizer(path).encode_packed, texts.to_pylist()))
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
+IDS, DECODED = T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """``id_col``, the columns in ``keep`` and ``ids array<int>``, for every row."""
 
     def batch(b: pa.RecordBatch) -> dict[str, object]:
-        packed = list(map(tokenizer(path).encode_packed, b.column(b.num_columns - 1).to_pylist()))
-        offsets = np.zeros(len(packed) + 1, np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), values)}
+        return {"ids": encode_batch(path, b.column(b.num_columns - 1))}
+
+    return map_batches(docs.select(id_col, *keep, text_of(text_col).alias("_text")), batch, [IDS], [id_col, *keep])
+
+
+def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that ids don't go to Python a second time."""
+
+    def batch(b: pa.RecordBatch) -> dict[str, object]:
+        ids = encode_batch(path, b.column(b.num_columns - 1))
+        return {"ids": ids, "decoded": tokenizer(path).decode_lists(ids)}
 
-    rows = docs.select(id_col, *keep, text_of(text_col).alias("_text"))
-    return map_batches(rows, batch, [T.StructField("ids", T.ArrayType(T.IntegerType()))], [id_col, *keep])
+    return map_batches(docs.select(id_col, *keep, text_of(text_col).alias("_text")), batch, [IDS, DECODED], [id_col, *keep])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -201,13 +216,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", keep: Sequence
     def batch(b: pa.RecordBatch) -> dict[str, object]:
         return {"decoded": tokenizer(path).decode_lists(b.column(b.num_columns - 1))}
 
-    return map_batches(encoded.select(id_col, *keep, "ids"), batch, [T.StructField("decoded", T.StringType())], [id_col, *keep, "ids"])
+    return map_batches(encoded.select(id_col, *keep, "ids"), batch, [DECODED], [id_col, *keep, "ids"])
 
 
 def roundtrip_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document the number of tokens and SHA-256 digests of ids and decoded text."""
-    both = decode(encode(docs, path), path)
-    return both.select(
+    return roundtrip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
