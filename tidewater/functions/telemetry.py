@@ -162,3 +162,10 @@ def labelled(totals: DataFrame, labels: DataFrame, show_zero: bool = False) -> D
 def lane_digests(records: DataFrame) -> DataFrame:
     """For each lane count and order-free digests, to hold writers against readers."""
     return records.groupBy("lane").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"), F.bit_xor(F.crc32(F.concat_ws("/", "lane_sequence", "message_id").cast("binary"))).alias("digest"))
+
+
+def selected_runs(runs: DataFrame, case: list[str], compatible: list[str]) -> DataFrame:
+    """Of each case the runs that agree with its newest run in what must be compatible."""
+    w = Window.partitionBy(*case).orderBy(F.desc("started_ms"), F.desc("run_id"))
+    newest_ = runs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*case, *compatible)
+    return runs.join(newest_, [*case, *compatible], "left_semi")

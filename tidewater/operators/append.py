@@ -159,3 +159,12 @@ def change_policies(policies: DataFrame, changes: DataFrame) -> DataFrame:
     joined = policies.join(due, ["topic", "policy_revision"], "left")
     new = [F.when(F.col("_due"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values]
     return joined.select("topic", (F.col("policy_revision") + F.coalesce(F.col("_due").cast("int"), F.lit(0))).alias("policy_revision"), *new)
+
+
+def create_partitions(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """Requests (``topic, partition, dedup_window_ms, delay_max_ms``) for partitions: an address
+    is given once, and deduplication and delay exclude each other."""
+    there = known.select("topic", "partition").distinct().withColumn("_there", F.lit(True))
+    joined = requests.join(there, ["topic", "partition"], "left")
+    code = F.when(F.col("_there"), int(Error.RETRY_CONFLICT)).when(F.col("dedup_window_ms").isNotNull() & F.col("delay_max_ms").isNotNull(), int(Error.UNSUPPORTED))
+    return joined.select(*requests.columns, code.alias("error_code"))

@@ -57,3 +57,9 @@ def missing_shards(expected: DataFrame, reported: DataFrame) -> DataFrame:
 def with_names(names: DataFrame, status: DataFrame) -> DataFrame:
     """Partition names with their statuses; statuses without a name come too, and names without a status."""
     return names.join(status, "partition", "full_outer")
+
+
+def while_trusted(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of nodes whose clocks agree: releases, retention by age and retirement of idle
+    producers wait for the others."""
+    return rows.join(verdicts.where("verdict = 'agreed'").select("node"), "node", "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.operators import ordering
+from tidewater.schemas import Error
 
 
 def logical_time(attempts: DataFrame, block: int = ordering.BLOCK) -> DataFrame:
@@ -73,3 +74,9 @@ def misclassified(recorded: DataFrame, attempts: DataFrame, window_ms: int) -> D
     """Recorded outcomes that a recomputation doesn't give: must be empty."""
     columns = ["partition", "arrival_seq", "disposition", "offset"]
     return recorded.select(*columns).exceptAll(classify(attempts, window_ms).select(*columns))
+
+
+def over_capacity(live: DataFrame, max_entries: int) -> DataFrame:
+    """Partitions whose live identities exceed what may be held: new ones are refused there
+    until some expire, and none is evicted."""
+    return live.groupBy("partition").agg(F.count("*").alias("entries")).where(F.col("entries") > max_entries).withColumn("error_code", F.lit(int(Error.CAPACITY)))

@@ -150,3 +150,17 @@ def inspect(groups: DataFrame, members: DataFrame, targets: DataFrame) -> DataFr
     """Per group its members and the partitions of each."""
     of = targets.groupBy("group_id", "member_id").agg(F.count("*").alias("partitions"))
     return groups.join(members, "group_id", "left").join(of, ["group_id", "member_id"], "left").select("group_id", "member_id", F.coalesce("partitions", F.lit(0)).alias("partitions"))
+
+
+def invalid_plans(groups: DataFrame, members: DataFrame, partitions: DataFrame, most_members: int = 256, most_partitions: int = 1024) -> DataFrame:
+    """Groups (``group_id, revision, prior_revision`` or null) whose next plan may not be made:
+    members that repeat or are too many, too many partitions, or a revision that doesn't follow."""
+    m = members.groupBy("group_id").agg(F.count("*").alias("_m"), F.count_distinct("member_id").alias("_d"))
+    p = partitions.groupBy("group_id").agg(F.count("*").alias("_p"))
+    joined = groups.join(m, "group_id", "left").join(p, "group_id", "left")
+    code = (
+        F.when(F.col("_m") != F.col("_d"), int(Error.MALFORMED))
+        .when((F.col("_m") > most_members) | (F.col("_p") > most_partitions), int(Error.CAPACITY))
+        .when(F.col("revision") != F.coalesce("prior_revision", F.lit(0)) + 1, int(Error.INVALID_SEQUENCE))
+    )
+    return joined.select(*groups.columns, code.alias("error_code")).where("error_code is not null")

@@ -1003,3 +1003,45 @@ def oracle_faults(spark, d):
     begun = x.select("fault", (F.col("n") * 2).alias("seq"), F.lit("begin").alias("phase"))
     ended = x.where("l_quantity < 25").select("fault", (F.col("n") * 2 + 1).alias("seq"), F.lit("end").alias("phase"))
     return consistency.unmatched_faults(begun.unionByName(ended)).select("fault", "n")
+
+
+# --- guards ------------------------------------------------------------------------------
+
+
+@query(_LIVE + 'SELECT "partition", count(*) AS entries, 10 AS error_code FROM li GROUP BY 1 HAVING count(*) > 5')
+def dedup_capacity(spark, d):
+    return dedup.over_capacity(dedup.live_identities(_dedup(spark, d), WINDOW), 5)
+
+
+@query("SELECT c_custkey AS \"partition\", c_nationkey AS node FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING min(s_suppkey) % 2 = 0)")
+def trusted_partitions(spark, d):
+    c, s = topics.table(spark, d, "customer"), topics.table(spark, d, "supplier")
+    first = s.groupBy(F.col("s_nationkey").alias("node")).agg(F.min("s_suppkey").alias("k"))
+    samples = first.select("node", F.lit(1).alias("peer"), F.when(F.col("k") % 2 == 0, 10).otherwise(5000).cast("long").alias("offset_ms"), F.lit(NOW).alias("arrived_ms"))
+    return control.while_trusted(c.select(F.col("c_custkey").alias("partition"), F.col("c_nationkey").alias("node")), control.clock_verdicts(samples, NOW, 1000))
+
+
+@query("SELECT r_regionkey AS group_id, r_regionkey + 1 AS revision, 1 AS prior_revision, CASE WHEN r_regionkey = 2 THEN 1 ELSE 7 END AS error_code FROM region WHERE r_regionkey <> 1")
+def group_plan_errors(spark, d):
+    """The third region's members repeat; all but the second expect another revision."""
+    r, n = topics.table(spark, d, "region"), topics.table(spark, d, "nation")
+    g = r.select(F.col("r_regionkey").alias("group_id"), (F.col("r_regionkey") + 1).alias("revision"), F.lit(1).alias("prior_revision"))
+    m = n.select(F.col("n_regionkey").alias("group_id"), F.when(F.col("n_regionkey") == 2, 0).otherwise(F.col("n_nationkey")).alias("member_id"))
+    return groups.invalid_plans(g, m, n.select(F.col("n_regionkey").alias("group_id"), F.col("n_nationkey").alias("partition")))
+
+
+@query("SELECT c_custkey AS \"partition\", CASE WHEN c_custkey % 3 = 0 THEN 8 WHEN c_nationkey % 2 = 0 THEN 2 END AS error_code FROM customer")
+def partition_creation(spark, d):
+    c = topics.table(spark, d, "customer")
+    ask = c.select(F.lit("t").alias("topic"), F.col("c_custkey").alias("partition"), F.lit(1000).alias("dedup_window_ms"), F.when(F.col("c_nationkey") % 2 == 0, 5).alias("delay_max_ms"))
+    return append.create_partitions(ask, ask.where("partition % 3 = 0")).select("partition", "error_code")
+
+
+@query(
+    "WITH r AS (SELECT o_orderkey AS run_id, o_custkey AS kase, o_orderpriority AS mode, epoch_us(o_orderdate) // 1000 AS started_ms FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY kase ORDER BY started_ms DESC, run_id DESC) AS k FROM r) "
+    "SELECT r.run_id, r.kase, r.mode FROM r JOIN n ON n.k = 1 AND n.kase = r.kase AND n.mode = r.mode"
+)
+def ledger_selection(spark, d):
+    o = topics.table(spark, d, "orders")
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("kase"), F.col("o_orderpriority").alias("mode"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_ms"))
+    return telemetry.selected_runs(runs, ["kase"], ["mode"]).select("run_id", "kase", "mode")
