@@ -156,6 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "do
     if not n.get(0) or not n.get(1):
         return LEXICON_ONLY
     words = mined(sample, n[1], n[0])
+    features = [*words, *_FIXED]
+    # only what is a feature from here on: a text has thousands of words and stems
+    sample = sample.select("y", F.array_intersect("found", F.array(*map(F.lit, features))).alias("found"))
     groups = [g for g in (words[k::GROUPS] for k in range(GROUPS)) if g]
     fires = lambda names: F.arrays_overlap("found", F.array(*map(F.lit, names))).cast("int")
     voters = [F.col("y").cast("int"), *(fires([f]) for f in _FIXED), *(fires(g) for g in groups)]
@@ -168,7 +171,6 @@ def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "do
     votes = (patterns[:, None] >> np.arange(len(voters)) & 1).astype(float)
     posterior = generative_model(votes, np.array([r["count"] for r in seen], float), np.where(votes[:, 0] == 1, 0.9, 0.05))
     known = docs.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(patterns, posterior, strict=True)], "votes int, q double")
-    features = [*words, *_FIXED]
     row = array_to_vector(F.transform(F.array(*map(F.lit, features)), lambda f: F.array_contains("found", f).cast("double")))
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight"))))
     data = voted.join(F.broadcast(known), "votes").select(row.alias("features"), both.alias("b")).select("features", "b.label", "b.weight").where("weight > 1e-6")
