@@ -321,6 +321,15 @@ def test_pii_surrogates(spark):
     assert private.startswith("10.")
 
 
+def test_pii_kinds_and_what_is_left_alone():
+    kinds = lambda t: [(e[2], t[e[0] : e[1]]) for e in pii.entities_of(t)]
+    for phone in ("+33 6 12 34 56 78", "+19445556250", "(944) 555-6250", "944-555-6250", "+1 (017) 555-7713"):
+        assert kinds(f"tel {phone}, ok") == [("phone", phone)]
+    assert kinds("SSN 123-45-6789.") == [("national", "123-45-6789")]
+    for clean in ("2024-01-15 10:30", "version 1.2.3.4.5", "pages 10-12", "4111111111111112", "a@b", "in 1999 2000 2001", "3.14159"):
+        assert kinds(clean) == []
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     """With a generator that can't but collide at first, all surrogates end distinct and new."""
     entities = spark.createDataFrame([("ip", f"10.0.0.{k}", "n") for k in range(1, 120)], "kind string, value string, gender string")
