@@ -41,7 +41,7 @@ NEWER = (
     r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 #: Pre-tokens in a generation of the cache of a Python worker (two are kept), and the longest that is kept.
-CACHE_SIZE, CACHE_WORD = 150_000, 64
+CACHE_SIZE, CACHE_WORD = 300_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
