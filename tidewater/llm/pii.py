@@ -56,11 +56,12 @@ _PATTERNS = [
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("card", re.compile(r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])")),
     ("national", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![\w]|[.-][0-9])")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-][0-9]{2,4}){1,5})(?![\w]|[.-][0-9])")),
     ("name", re.compile(r"\b(" + "|".join(_GENDER) + r")\.? ((?:[^\W\d_a-z][^\W\d_]+)(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")),
 ]
-#: A text in which this finds nothing has no entity: every pattern needs a sign of it.
-TRIGGER = r"@|[0-9][0-9)(. -]*[0-9]|(" + "|".join(_GENDER) + r")\.? "
+#: A text in which this finds nothing has no entity: every pattern needs a sign of it.  Most
+#: characters can't begin one, which is looked at first.
+TRIGGER = r"(?=[@0-9" + "".join(sorted({t[0] for t in _GENDER})) + r"])(?:@|[0-9][0-9)(. -]*[0-9]|(?:" + "|".join(_GENDER) + r")\.? )"
 
 
 def check_digit_ok(digits: str) -> bool:
@@ -91,8 +92,9 @@ def canonical(kind: str, value: str) -> str | None:
     if kind == "card":
         return digits if 13 <= len(digits) <= 19 and check_digit_ok(digits) and len(set(digits)) > 1 else None
     if kind == "phone":
-        # a number in groups without country code or brackets must be as long as a whole one
-        return digits if 7 <= len(digits) <= 15 and (value[0] in "+(" or len(digits) >= 9) else None
+        # without country code or brackets: as long as a whole number, and neither a date nor years
+        local = len(digits) >= 9 and not re.match(r"[0-9]{4}|[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4}", value)
+        return digits if 7 <= len(digits) <= 15 and (value[0] in "+(" or local) else None
     return digits
 
 
