@@ -226,6 +226,29 @@ def test_secrets_need_structure():
         assert not [s for s in secrets.spans_of(f"a {text} b") if s[0] in ("der", "openssh", "jwt")]
 
 
+def test_secrets_end_where_their_lengths_say():
+    """Keys of all lengths mod 3 between dashes, before prose and one after the other; tokens behind a dotted part."""
+    rng = random.Random(6)
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    for n in range(57, 63):
+        sec1 = element(0x30, element(2, b"\x01"), element(4, rng.randbytes(32)), element(0xA1, rng.randbytes(n)))
+        container = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 30) + field(b"s" * n)
+        for key, kind in ((sec1, "der"), (container, "openssh")):
+            for padded, newline in ((True, "\n"), (False, "\n"), (False, "\r\n")):
+                body = newline.join(re.findall(".{1,64}", base64.b64encode(key).decode()))
+                body = body if padded else body.rstrip("=")
+                for before, after in (("-----BEGIN KEY-----", "-----END KEY-----"), ("it reads", "word after it"), ("", "w" * 70), ("a/path/" * 8, ""), ("x", body)):
+                    text = f"{before}{newline}{body}{newline}{after}"
+                    at = len(before + newline)
+                    want = [(kind, at, at + len(body))] + ([(kind, len(text) - len(body), len(text))] if after == body else [])
+                    assert [s for s in secrets.spans_of(text) if s[0] in ("der", "openssh", "jwt")] == want
+    url = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = ".".join([url(json.dumps({"alg": "HS256"}).encode()), url(b'{"sub": 1}'), url(rng.randbytes(32))])
+    for before in ("", "session12.", "a.b.", "session12.longer-part.", ".", f"{token}."):
+        found = [s for s in secrets.spans_of(f"id {before}{token} z") if s[0] == "jwt"]
+        assert found[-1] == ("jwt", 3 + len(before), 3 + len(before + token)) and len(found) == 1 + (token in before)
+
+
 def test_secrets_base_by_brute_force(spark):
     rng = random.Random(7)
     bits = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH01234567", "deadbeef", "0123456789abcdef", "é", "ſecret", "toKen", "\n", "x", "+/_.-"]

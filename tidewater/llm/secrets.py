@@ -17,6 +17,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +37,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 #: The same runs as _HEX has, but for the short ones.
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: Base64 in one run or wrapped into lines, as armoured keys are.
+#: A signed token may stand at any of the dotted parts.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){2,}")
+#: Base64 in one run or wrapped into lines, as armoured keys are.  Lines that follow the key,
+#: such as dashes or a word, may be taken too; the key's own length tells where it ends.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_MAGIC = b"openssh-key-v1\x00"
+#: Beginnings of an object in base64.
+_HEADERS = ("ey", "ew", "e3", "IC", "Cn", "DQ")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 
@@ -92,10 +100,9 @@ def private_der(data: bytes) -> bool:
 
 def private_container(data: bytes) -> bool:
     """A private-key container: magic, then length-prefixed fields that end exactly."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+    if not data.startswith(_MAGIC):
         return False
-    at = len(magic)
+    at = len(_MAGIC)
 
     def take() -> bytes | None:
         nonlocal at
@@ -140,16 +147,70 @@ def structure(data: bytes | None) -> str | None:
     return "der" if private_der(data) else "openssh" if private_container(data) else None
 
 
+def extent(peek: Callable[[int, int], bytes]) -> int | None:
+    """How many bytes a key takes by its own lengths; ``peek`` gives n bytes from a place."""
+    if peek(0, len(_MAGIC)) == _MAGIC:
+        at = len(_MAGIC)
+        for _ in range(3):  # cipher, key derivation, its options
+            at += 4 + int.from_bytes(peek(at, 4), "big")
+        keys = int.from_bytes(peek(at, 4), "big")
+        if not 1 <= keys <= 16:
+            return None
+        at += 4
+        for _ in range(keys + 1):
+            at += 4 + int.from_bytes(peek(at, 4), "big")
+        return at
+    head = peek(0, 6)
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if k else 2 + head[1]
+
+
+def base64_keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Keys in the lines of a run of base64: each starts with a line and ends with one."""
+    lines = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\r\n=]+", text[start:end])]
+    plain = "".join(text[s:e] for s, e in lines)
+    ends = list(accumulate(e - s for s, e in lines))
+    k = 0
+    while k < len(lines):
+        first = ends[k - 1] if k else 0
+
+        def peek(at: int, n: int) -> bytes:
+            x = first + at // 3 * 4
+            return (unbase64(plain[x : min(x + (n // 3 + 2) * 4, first + (len(plain) - first) // 4 * 4)]) or b"")[at % 3 :][:n]
+
+        size = extent(peek)
+        stop = first + -(-size * 4 // 3) if size else 0
+        last = bisect_left(ends, stop) if size else len(ends)
+        if last < len(ends) and ends[last] == stop and (kind := structure(unbase64(plain[first:stop]))):
+            yield kind, lines[k][0], end if last == len(ends) - 1 else lines[last][1]
+            k = last + 1
+        else:
+            k += 1
+
+
+def signed_tokens(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Signed tokens in a run of dotted parts."""
+    parts = text[start:end].split(".")
+    at = [start, *accumulate((len(x) + 1 for x in parts), initial=start)][1:]
+    k = 0
+    while k + 2 < len(parts):
+        if len(parts[k]) >= 8 and parts[k].startswith(_HEADERS) and parts[k + 1] and signed_token(*parts[k : k + 3]):
+            yield "jwt", at[k], at[k + 2] + len(parts[k + 2])
+            k += 3
+        else:
+            k += 1
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then by kind as listed."""
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", *m.span()) for m in _HEX_LONG.finditer(text)]
     if "." in text:
-        out += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if m[1].startswith(("ey", "ew", "e3", "IC", "Cn", "DQ")) and signed_token(*m.groups())]
-    for m in _BASE64.finditer(text):
-        if kind := structure(unbase64(m[0])):
-            out.append((kind, *m.span()))
+        out += [t for m in _DOTTED.finditer(text) for t in signed_tokens(text, *m.span())]
+    out += [t for m in _BASE64.finditer(text) for t in base64_keys(text, *m.span())]
     for m in _HEX_ANY.finditer(text):
         if kind := structure(bytes.fromhex(m[0])):
             out.append((kind, *m.span()))
