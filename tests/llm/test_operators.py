@@ -353,6 +353,30 @@ def test_pii_kinds_and_what_is_left_alone():
         assert kinds(clean) == []
 
 
+def test_pii_telephone_formats():
+    found = lambda t: [t[e[0] : e[1]] for e in pii.entities_of(t) if e[2] == "phone"]
+    for phone in ("+49 171 1234567", "+49 30 12345678", "+33 612345678", "+44 7700 900123", "(030) 1234567", "0171 1234567", "07700 900123", "01711234567", "0171 123 4567", "0800 555 1234", "1300 555 124", "030/1234567", "+49 (0)30 1234567", "0049 171 1234567", "(944) 5556250"):
+        assert found(f"tel {phone}, ok") == found(phone) == [phone]
+        assert found(f"on 2024-01-15 {phone}") == [phone]
+        new = pii.formatted("phone", phone, pii.surrogate("phone", pii.canonical("phone", phone), "", 0, "k"))
+        assert new != phone and [c.isdigit() for c in new] == [c.isdigit() for c in phone] and pii.canonical("phone", new)
+    assert [e[2] for e in pii.entities_of("Des +1 (826) 555-4081 190.137.223.204 du")] == ["phone", "ip"]
+    assert found("0171 1234567 030 7654321 x") == ["0171 1234567", "030 7654321"]
+    for clean in ("1999-12-31 23", "31.12.1999 10", "1990-1995 2000", "id 1234567890", "0.1711234567", "from 1999 12345678", "(1999) 2345", "0012345678"):
+        assert found(clean) == []
+
+
+def test_pii_crowded_networks(spark):
+    """More addresses of one private network than half of it, next to few of another."""
+    values = [f"192.168.{k >> 8}.{k & 255}" for k in range(40_000)] + [f"10.0.0.{k}" for k in range(50)]
+    made = pii.surrogate_map(spark.createDataFrame([("ip", v, "n") for v in values], "kind string, value string, gender string"), "k").collect()
+    assert {r.value for r in made} == set(values) and len({r.surrogate for r in made}) == len(made) == len(values)
+    assert all(r.surrogate != r.value and r.surrogate.split(".")[0] == r.value.split(".")[0] for r in made)
+    assert all(r.surrogate.startswith("192.168.") for r in made if r.value[0:3] == "192")
+    assert not {r.surrogate for r in made if r.value[:3] == "10."} & set(values)
+    assert len({pii.surrogate("name", "ян", "n", k, "k") for k in range(3)}) == 3 and len(pii.surrogate("name", "ян", "n", 5, "k")) > 2
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     """With a generator that can't but collide at first, all surrogates end distinct and new."""
     entities = spark.createDataFrame([("ip", f"10.0.0.{k}", "n") for k in range(1, 120)], "kind string, value string, gender string")

@@ -10,7 +10,7 @@ of its title, its script, its case and its number of parts.
 
 Distinct entities are gathered once, without texts.  A surrogate that two entities draw,
 or that is itself a value in the corpus, is drawn again by all but one, round by round,
-until the check finds none.  Occurrences then take their surrogates in a join on the
+until the check finds none; a private network of which a quarter is in use is permuted.  Occurrences then take their surrogates in a join on the
 entity, so an entity that a third of all rows mention is one row of the map.
 
 Cases: null texts stay null, empty and clean texts pass unchanged and without Python;
@@ -24,6 +24,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,7 +57,18 @@ _PATTERNS = [
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("card", re.compile(r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])")),
     ("national", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-][0-9]{2,4}){1,5})(?![\w]|[.-][0-9])")),
+    (
+        "phone",
+        re.compile(
+            r"(?<![\w+])(?<![0-9][.,])(?:"
+            r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,14}(?:[ .-][0-9]{2,10}){0,5}"
+            r"|\([0-9]{1,6}\)[ .-]?[0-9]{1,8}(?:[ .-][0-9]{2,8}){0,5}"
+            r"|0[0-9]{1,5}(?: ?/ ?|[ .-])[0-9]{2,8}(?:[ .-][0-9]{2,8}){0,4}"
+            r"|0[1-9][0-9]{8,10}|00[1-9][0-9]{9,12}"
+            r"|[0-9]{1,4}(?:[ .-][0-9]{2,4}){1,5}"
+            r")(?![\w]|[.-][0-9])"
+        ),
+    ),
     ("name", re.compile(r"\b(" + "|".join(_GENDER) + r")\.? ((?:[^\W\d_a-z][^\W\d_]+)(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")),
 ]
 #: A text in which this finds nothing has no entity: every pattern needs a sign of it.  Most
@@ -77,6 +89,49 @@ def iban_ok(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+#: A date with a valid month and day, or years.
+_MONTH, _DAY, _YEAR = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:1[0-9]|2[01])[0-9]{2}"
+_DATE = re.compile(rf"(?:{_YEAR}([ .-]){_MONTH}\1{_DAY}|{_DAY}([ .-]){_MONTH}\2{_YEAR}|{_MONTH}([ .-]){_DAY}\3{_YEAR}|{_YEAR}(?:[ .-]{_YEAR})+)(?![0-9])[ .-]?")
+
+
+def _is_phone(value: str, digits: str) -> bool:
+    groups = re.findall("[0-9]+", value)
+    if value[0] == "+":
+        return True
+    if value[0] == "(":
+        return digits[0] == "0" or (len(groups) > 2 and max(map(len, groups)) <= 4) or (len(groups[0]) == 3 and len(digits) == 10)
+    # without country code or brackets: as long as a whole number, and neither a date nor years
+    return len(digits) >= 9 and not _DATE.match(value) and (digits[0] == "0" or max(map(len, groups)) <= 4)
+
+
+def phones_of(text: str, addresses: list[int]) -> Iterator[tuple[int, int]]:
+    """Places that may be a telephone number: dates before one, and a number or one of the
+    ``addresses`` (where they start) after one, are cut off."""
+    pattern, at = dict(_PATTERNS)["phone"], 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        at = end
+        if text[start] not in "+(" and (date := _DATE.match(text, start, end)):
+            at = date.end()
+            continue
+        for ip in addresses[bisect_right(addresses, start) : bisect_left(addresses, end)]:
+            if sum(map(str.isdigit, text[start:ip])) >= 7:
+                end = at = start + len(text[start:ip].rstrip(" .-/("))
+                break
+        if text[start] in "+(0" and sum(map(str.isdigit, text[start:end])) > 15:
+            before, cut, last = 0, None, None
+            for g in re.finditer("[0-9]+", text[start:end]):
+                if before >= 7 and len(g[0]) >= 3 and g[0][0] == "0":
+                    cut = last
+                    break
+                before += len(g[0])
+                if before <= 15:
+                    last = g.end()
+            if (cut := cut or last) is not None:
+                end = at = start + cut
+        yield start, end
+
+
 def canonical(kind: str, value: str) -> str | None:
     """What makes two mentions the same entity; None if it isn't one after all."""
     if kind == "email":
@@ -92,9 +147,7 @@ def canonical(kind: str, value: str) -> str | None:
     if kind == "card":
         return digits if 13 <= len(digits) <= 19 and check_digit_ok(digits) and len(set(digits)) > 1 else None
     if kind == "phone":
-        # without country code or brackets: as long as a whole number, and neither a date nor years
-        local = len(digits) >= 9 and not re.match(r"[0-9]{4}|[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4}", value)
-        return digits if 7 <= len(digits) <= 15 and (value[0] in "+(" or local) else None
+        return digits if 7 <= len(digits) <= 15 and _is_phone(value, digits) else None
     return digits
 
 
@@ -102,6 +155,9 @@ def entities_of(text: str) -> list[tuple[int, int, str, str, str]]:
     """Start, end, type, canonical value, gender; in order, without overlap."""
     found = []
     for kind, pattern in _PATTERNS:
+        if kind == "phone":
+            found += [(a, b, kind, value, "") for a, b in phones_of(text, [x[0] for x in found if x[2] == "ip"]) if (value := canonical(kind, text[a:b])) is not None]
+            continue
         for m in pattern.finditer(text):
             group = 2 if kind == "name" else 0
             value = canonical(kind, m[group])
@@ -183,12 +239,39 @@ def surrogate(kind: str, value: str, gender: str, attempt: int, key: str) -> str
                 middle = "".join(head[s.below(10)] for _ in range(attempt + (k == len(parts) - 1)))
                 made.append(head[s.below(10)] + middle + tail[s.below(10)])
             else:
-                made.append("".join(alphabet(c)[s.below(len(alphabet(c)))] if c.isalpha() else c for c in part))
+                drawn = "".join(alphabet(c)[s.below(len(alphabet(c)))] if c.isalpha() else c for c in part)
+                more = alphabet(part[0])
+                made.append(drawn + "".join(more[s.below(len(more))] for _ in range(attempt - 1)))  # few short names
         return " ".join(made)
     if kind == "national":
         return f"{900 + s.below(100)}{1 + s.below(99):02d}{1 + s.below(9999):04d}"  # numbers that are never given out
-    keep = len(value) - 10 if len(value) > 10 else 0  # the country code
-    return value[:keep] + str(2 + s.below(8)) + "".join(str(s.below(10)) for _ in value[keep + 1 :])
+    keep = max(len(value) - 10, len(value) - len(value.lstrip("0")))  # the country code or what stands for it
+    more = min(attempt // 8, 15 - len(value))  # numbers of a short length may be used up
+    return value[:keep] + str(2 + s.below(8)) + "".join(str(s.below(10)) for _ in range(len(value) - keep - 1 + more))
+
+
+#: Private networks: beginning and bits of the rest.
+POOLS = {"10": (10 << 24, 24), "172": (172 << 24 | 16 << 16, 20), "192": (192 << 24 | 168 << 16, 16)}
+#: A network of which more than this share is in the corpus is assigned by a permutation.
+CROWDED = 0.25
+
+
+def permuted(value: str, key: str) -> str:
+    """The address that stands for one of a crowded private network: of a keyed order of the
+    whole network, which is a cycle, the next.  No two share one and none stays as it is."""
+    first, bits = POOLS[value.split(".")[0]]
+    half = bits // 2
+    mask = (1 << half) - 1
+    turn = lambda k, x: int.from_bytes(hmac.new(key.encode(), b"%d|%d|%d" % (first, k, x), hashlib.sha256).digest()[:4], "big") & mask
+    at = int.from_bytes(bytes(map(int, value.split("."))), "big") - first
+    left, right = at >> half, at & mask
+    for k in range(4):
+        left, right = right, left ^ turn(k, right)
+    at = ((left << half | right) + 1) & ((1 << bits) - 1)
+    left, right = at >> half, at & mask
+    for k in reversed(range(4)):
+        left, right = right ^ turn(k, left), left
+    return ".".join(map(str, (first + (left << half | right)).to_bytes(4, "big")))
 
 
 def formatted(kind: str, original: str, value: str) -> str:
@@ -222,7 +305,13 @@ def detect(texts: pa.Array) -> pa.Array:
 def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     """``kind``, ``value``, ``surrogate``: one row for each entity (``kind``, ``value``,
     ``gender``, distinct by the first two), no two of a kind with the same surrogate, and no
-    surrogate that is a value of the corpus."""
+    surrogate that is a value of the corpus, but in private networks that are so crowded
+    that they are permuted."""
+
+    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = pa.array([permuted(v, key) for v in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), drawn, b.column(1)], ["kind", "surrogate", "value"])
 
     def draw(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +324,13 @@ def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
 
     schema = "kind string, value string, gender string, surrogate string"
     values = entities.select("kind", F.col("value").alias("surrogate"))
+    private = F.when((F.col("kind") == "ip") & F.col("value").rlike(r"^(10|172\.(1[6-9]|2[0-9]|3[01])|192\.168)\."), F.substring_index("value", ".", 1))
+    crowded = [r.pool for r in entities.groupBy(private.alias("pool")).count().collect() if r.pool and r["count"] > CROWDED * 2 ** POOLS[r.pool][1]]
     left, settled = entities, []
+    if crowded:
+        inside = F.coalesce(private.isin(crowded), F.lit(False))
+        settled = [materialise(entities.where(inside).select("kind", "value").mapInArrow(permute, "kind string, surrogate string, value string"), "permuted")]
+        left = entities.where(~inside)
     for attempt in range(ROUNDS):
         drawn = materialise(left.select("kind", "value", "gender").mapInArrow(draw(attempt), schema), "surrogates")
         fresh = drawn.join(values, ["kind", "surrogate"], "left_anti")
