@@ -158,6 +158,17 @@ def test_language_of_texts_without_letters(spark, docs):
     assert {r.doc_id for r in language.keep_known(rows, profiles).collect()} == {5}
 
 
+def test_language_far_from_all_profiles(spark, docs):
+    """Other languages in the same letters, and letter noise, are nobody's; their letters are in every profile."""
+    rng = random.Random(2)
+    noise = "".join(rng.choices(string.ascii_lowercase + "     ", k=600))
+    italian = "La mattina presto il vecchio pescatore scese verso il porto portando con sé la rete che aveva riparato durante la notte e guardava il mare mentre gli altri uomini dormivano ancora"
+    polish = "Wczesnym rankiem stary rybak zszedł do portu niosąc sieć którą naprawił w nocy i spojrzał na morze"
+    english = "Early in the morning the old man and the other men of the house went to the river and there they ate and then they rested in the shade"
+    rows = spark.createDataFrame(list(enumerate([noise, italian, polish, "xqzj kwvx " * 40, english, None])), "doc_id long, text string")
+    assert [r.doc_id for r in language.keep_known(rows, language.learn(docs)).collect()] == [4]
+
+
 def test_language_distance_by_brute_force():
     """Ranks and out-of-place distance as plain Python has them."""
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +36,9 @@ from tidewater.llm.common import map_batches, slices, text_of
 #: Ranks of a profile, n-grams of a document that are compared, rows of a language that teach, longest n-gram.
 RANKS, COMPARED, SAMPLE, LONGEST = 400, 300, 20_000, 3
 UNKNOWN = "und"
+#: A text belongs to none of the languages if its smallest distance is beyond this share of the way
+#: from the ninth decile of the teaching documents' to 1; documents that give a bound of their own.
+BEYOND, LEAST = 0.4, 30
 #: Stands for the blank in packed n-grams; not 0, so that n-grams of different lengths differ.
 BLANK = 1
 
@@ -79,28 +82,42 @@ class Profiles:
     languages: tuple[str, ...]
     grams: np.ndarray  # all n-grams that any profile has, sorted
     ranks: np.ndarray  # by language and n-gram; RANKS where a profile lacks it
+    bounds: tuple[float, ...] = ()  # of the smallest distance, by size()
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """Language, and how much nearer it is than the next: 0 where they tie, 1 where the
-        document agrees with it exactly."""
+    def distances(self, text: str) -> tuple[int, np.ndarray]:
+        """How many n-grams are compared, and the distance to each language, from 0 to 1."""
         own = ranked(ngrams(text), COMPARED)
         if not len(own) or not self.languages:
-            return UNKNOWN, 0.0
+            return 0, np.ones(len(self.languages))
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         place = np.where(self.grams[at] == own, self.ranks[:, at], RANKS)
-        away = np.where(place < RANKS, np.abs(place - np.arange(len(own))), RANKS).sum(axis=1) / (RANKS * len(own))
+        return len(own), np.where(place < RANKS, np.abs(place - np.arange(len(own))), RANKS).sum(axis=1) / (RANKS * len(own))
+
+    def predict(self, text: str) -> tuple[str, float]:
+        """Language, and how much nearer it is than the next: 0 where they tie, 1 where the
+        document agrees with it exactly."""
+        n, away = self.distances(text)
+        if not n or not self.languages:
+            return UNKNOWN, 0.0
         order = np.argsort(away, kind="stable")
         first = float(away[order[0]])
         second = float(away[order[1]]) if len(order) > 1 else 1.0
         return self.languages[order[0]], (1 - first / second if second > 0 else 0.0)
 
     def knows(self, text: str) -> bool:
-        """Whether any profile has any n-gram of the text."""
-        return bool(np.isin(ranked(ngrams(text), COMPARED), self.grams).any())
+        """Whether the nearest language is no farther than its own documents may be."""
+        n, away = self.distances(text)
+        return n > 0 and float(away.min(initial=1.0)) <= self.bounds[size(n)]
+
 
+def size(n: int) -> int:
+    """Texts with about as many n-grams have one bound: few n-grams lie farther off."""
+    return n.bit_length() if n < COMPARED else COMPARED.bit_length() + 1
 
-def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> Profiles:
-    """Profiles from the rows for which ``teaches`` holds and that have a language."""
+
+def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, bounded: bool = True) -> Profiles:
+    """Profiles from the rows for which ``teaches`` holds and that have a language; with bounds,
+    for which a quarter of the rows that teach are read once more, if ``bounded``."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (teaches if teaches is not None else F.lit(True)))
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     share = F.lit(0.0)
@@ -133,7 +150,27 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
     ranks = np.full((len(languages), len(grams)), RANKS, np.int64)
     for r in top:
         ranks[languages.index(r.lang), np.searchsorted(grams, r.gram)] = r.rank
-    return Profiles(languages, grams, ranks)
+    profiles = Profiles(languages, grams, ranks)
+    if not bounded or not languages:
+        return profiles
+    few = F.lit(sum(min(n, sample) for n in sizes.values()) <= 4 * sample // 10)  # all of a small table
+    return replace(profiles, bounds=bounds(drawn.where(few | (F.pmod(F.xxhash64(text_col, F.lit("bound")), F.lit(4)) == 0)), profiles, text_col))
+
+
+def bounds(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> tuple[float, ...]:
+    """How far a text may be from its nearest language, by size; sizes of too few documents take the bound of all."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.arrow_udf(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("away", T.DoubleType())]))
+    def nearest(texts: pa.Array) -> pa.Array:
+        found = [shared.value.distances(t.as_py()) for t in texts]
+        return pa.array([{"size": size(n), "away": float(a.min())} if n else None for n, a in found], pa.struct([("size", pa.int32()), ("away", pa.float64())]))
+
+    measured = docs.select(nearest(text_of(text_col)).alias("x")).select("x.size", "x.away").where("size is not null")
+    by = {r["size"]: (r["n"], r["q"]) for r in measured.rollup("size").agg(F.count("*").alias("n"), F.percentile_approx("away", 0.9, 10_000).alias("q")).collect()}
+    whole = by.get(None, (0, None))[1]
+    decile = [by[k][1] if by.get(k, (0,))[0] >= LEAST else whole for k in range(size(COMPARED) + 1)]
+    return tuple(0.0 if q is None else q + BEYOND * (1 - q) for q in decile)
 
 
 def _rows(held: dict[str, dict[int, int]]):
@@ -155,8 +192,8 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is unknown: no letters, or no n-gram that any
-    profile has."""
+    """``docs`` without the rows whose language is unknown: no letters, or too far from every
+    profile.  The profiles have bounds."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.arrow_udf(T.BooleanType())
@@ -171,6 +208,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    profiles = learn(docs, ~held_out())
+    profiles = learn(docs, ~held_out(), bounded=False)
     marked = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(marked, profiles, ["doc_id", "held_out"])
