@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,23 +16,40 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is
-    made once and put into the session's configuration.
+    A local session (tests) without the setting gets a temporary folder, once; any other
+    must have it, since tables in a folder of one machine would be lost to the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidewater.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.tidewater.dir", path)
     return path.rstrip("/")
 
 
+#: Where tables that were written stand, as long as somebody holds them.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut,
     and a lost executor costs only the tasks it ran, never the stages before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing will read again."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def field(df: DataFrame, name: str) -> T.StructField:

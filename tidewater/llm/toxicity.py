@@ -3,13 +3,14 @@
 Many voters look at a document: lexicons of insults, groups of words and word stems that
 set marked documents apart, patterns of address and shouting, and the marks themselves as
 one annotator.  A generative model of two classes estimates how often each voter fires in
-each class and how the voters correlate within a class; correlated voters share their
-weight.  Its posterior labels train a linear classifier over single words, stems and
-patterns, and that classifier alone scores texts.
+each class (its accuracy) and how the voters correlate within a class; correlated voters
+share their weight.  Its posterior labels train a linear classifier over single words,
+stems and patterns, and that classifier alone scores texts.
 
 Fitting takes a sample of marked rows, drawn by a hash of the id, of at most about
-``TOXIC`` and ``CLEAN`` rows of each mark: its size, and so what is broadcast or reaches the
-driver, doesn't grow with the tables.  Scoring covers every row.
+``TOXIC`` and ``CLEAN`` rows of each mark, and at most ``FEATURES`` words and stems: the size
+of the model, and so what is broadcast or reaches the driver, doesn't grow with the tables.
+Scoring covers every row and the whole of each text.
 
 Cases: null and empty texts get the classifier's base score; marks that are null or whose
 id is missing teach nothing, of several marks of an id the largest counts; without marked
@@ -21,8 +22,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,31 +36,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import map_batches, materialise, text_of
+from tidewater.llm.common import map_batches, materialise, release, slices, text_of
 
 #: Rows that teach: marked toxic, marked clean.  Words and stems that become features, and groups that vote.
 TOXIC, CLEAN, FEATURES, GROUPS = 5_000, 10_000, 400, 12
-#: A mined word is in this share of the toxic rows at least, and this many times likelier there.
-SHARE, TIMES = 0.004, 6.0
+#: A mined word is in this share of the toxic rows and in so many at least, this many times likelier there,
+#: and the rows times the logarithm of that come to so much, which words that are there by chance don't reach.
+SHARE, LEAST, TIMES, STRENGTH = 0.004, 5, 6.0, 25.0
+#: How much more a toxic row counts in the classifier's fit, as clean ones are many more.
+BALANCE = 2.0
 THRESHOLD = 0.7
+#: Words and stems that a task counts before it passes the counts on.
+HELD = 300_000
 
 #: Common insults by language.
 LEXICONS = {
-    "en": "idiot stupid moron loser pathetic disgusting worthless scum trash clown dumb fool jerk creep liar filthy garbage imbecile coward vermin",
-    "fr": "imbécile stupide crétin abruti débile minable ordure dégoûtant nul bouffon raclure salaud pourriture menteur lâche vermine",
-    "de": "idiot dumm blöd trottel depp versager abschaum widerlich erbärmlich dreck lügner feigling ungeziefer schwachkopf",
-    "es": "idiota estúpido imbécil tonto basura patético asqueroso escoria payaso inútil perdedor mentiroso cobarde alimaña",
+    "en": "idiot stupid moron loser pathetic disgusting worthless scum trash clown dumb fool jerk creep liar filthy garbage imbecile coward vermin bastard bitch asshole dickhead scumbag dumbass jackass retard whore slut pig swine rat parasite leech lowlife degenerate maggot dimwit halfwit cretin hypocrite crap shit fuck fucking bullshit",
+    "fr": "imbécile stupide crétin abruti débile minable ordure dégoûtant bouffon raclure salaud salope pourriture menteur lâche vermine connard connasse con conne enculé putain merde bâtard pute idiot idiote taré attardé parasite racaille clochard hypocrite ignoble méprisable",
+    "de": "idiot idiotin dumm dumme blöd blöde trottel depp versager abschaum widerlich erbärmlich dreck drecksau lügner feigling ungeziefer schwachkopf arschloch scheiße scheiss wichser hurensohn schlampe fotze mistkerl vollpfosten hohlkopf schwein sau miststück parasit penner spinner verlierer",
+    "es": "idiota estúpido estúpida imbécil tonto tonta basura patético asqueroso asquerosa escoria payaso inútil perdedor mentiroso cobarde alimaña gilipollas cabrón puta puto mierda pendejo maricón zorra cerdo cerda subnormal desgraciado parásito rata retrasado miserable",
 }
 _SEEDS = {w for words in LEXICONS.values() for w in words.split()}
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a stem.
-STEMS = (4, 5, 6, 7)
+STEMS = (3, 4, 5, 6, 7)
 #: Marks in front of what isn't a whole word: a stem, a pattern, a lexicon.
 STEM, PATTERN, LEXICON = "^", "!", "#"
 _ADDRESS = re.compile(r"\b(?:you|your|du|ihr|tu|vous|eres|usted)\W+(?:\w+\W+){0,2}(?:" + "|".join(sorted(map(re.escape, _SEEDS))) + r")\b")
 _MASKED = re.compile(r"\b\w\*{2,}\w")
 
 
+@lru_cache(maxsize=1)
+def _case() -> np.ndarray:
+    """By code point 1 for a lower-case letter, 2 for a capital, 0 for others."""
+    return np.array([2 if c.isupper() else int(c.islower()) for c in map(chr, range(sys.maxunicode + 1))], np.int8)
+
+
+def shouts(text: str) -> bool:
+    """Whether most letters of a text are capitals."""
+    if len(text) < 20 or text.islower():
+        return False
+    kinds = np.bincount(_case()[np.frombuffer(text.encode("utf-32-le"), np.uint32)], minlength=3)
+    return bool(kinds[2] > kinds[1])
+
+
 def evidence(text: str) -> set[str]:
     """The distinct words of a text, its stems (marked once more where two words share one, and
     again where three do), lexicons and patterns."""
@@ -72,7 +95,7 @@ def evidence(text: str) -> set[str]:
         found.add(PATTERN + "masked")
     if text.count("!!") >= 3:
         found.add(PATTERN + "bangs")
-    if len(text) >= 20 and sum(map(str.isupper, text[::7])) * 14 > len(text):
+    if shouts(text):
         found.add(PATTERN + "shout")
     return found
 
@@ -81,9 +104,20 @@ _LEXICON_SETS = {k: frozenset(v.split()) for k, v in LEXICONS.items()}
 _FIXED = [*(LEXICON + k for k in LEXICONS), *(PATTERN + k for k in ("address", "masked", "bangs", "shout"))]
 
 
-def generative_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 4, steps: int = 60) -> np.ndarray:
-    """The posterior of the second class for each row of ``votes`` (0 or 1 by voter), each
-    standing for ``weight`` documents.  ``start`` is a first guess of the posterior.
+@dataclass(frozen=True)
+class LabelModel:
+    """What the voters tell: the posterior of the second class by row, how often each voter
+    fires in each class, how voters correlate within a class, and the share of the second."""
+
+    posterior: np.ndarray
+    rates: np.ndarray
+    correlations: np.ndarray
+    prior: float
+
+
+def generative_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 4, steps: int = 60) -> LabelModel:
+    """Fits two classes to ``votes`` (0 or 1 by row and voter), each row standing for ``weight``
+    documents.  ``start`` is a first guess of the posterior.
 
     Rounds alternate between expectation-maximisation with the voters' weights held, and
     taking the voters' correlations within the classes: a voter that moves with others
@@ -106,14 +140,14 @@ def generative_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, r
             within += prior[y] * ((centred * mass[y][:, None]).T @ centred) / max(mass[y].sum(), 1) / np.outer(spread, spread)
         np.fill_diagonal(within, 0)
         share = 1 / (1 + np.clip(within, 0, 1).sum(axis=1))
-    return posterior
+    return LabelModel(posterior, rate, within, float(prior[1]))
 
 
 class Classifier:
     """Weights of words, stems and patterns."""
 
-    def __init__(self, weights: dict[str, float], base: float):
-        self.weights, self.base = weights, base
+    def __init__(self, weights: dict[str, float], base: float, label_model: LabelModel | None = None):
+        self.weights, self.base, self.label_model = weights, base, label_model
 
     def score(self, text: str) -> float:
         x = self.base + sum(self.weights[f] for f in sorted(self.weights.keys() & evidence(text)))
@@ -125,63 +159,85 @@ LEXICON_ONLY = Classifier({LEXICON + k: 4.0 for k in LEXICONS}, -3.0)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str, text_col: str) -> DataFrame:
-    """``y``, ``found`` (the evidence) of the rows that teach."""
+    """``y``, ``_text`` of the rows that teach."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & teaches).groupBy(id_col).agg(F.max("toxic").cast("int").alias("y"))
     n = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, TOXIC / n.get(1, 1)))).otherwise(F.lit(min(1.0, CLEAN / n.get(0, 1))))
     drawn = marked.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_text")).join(F.broadcast(drawn), id_col)
+    return materialise(rows.select("y", "_text"), "toxicity-sample")
 
-    def batch(b: pa.RecordBatch) -> dict[str, object]:
-        return {"found": pa.array([sorted(evidence(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))}
 
-    both = map_batches(rows.select("y", "_text"), batch, [T.StructField("found", T.ArrayType(T.StringType()))], ["y"])
-    return materialise(both, "toxicity-sample")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many rows of each mark a word or stem is, counted within the task."""
+    held: Counter[tuple[int, str]] = Counter()
+
+    def out() -> pa.RecordBatch:
+        names = ["y", "f", "n"]
+        return pa.RecordBatch.from_arrays([pa.array([y for y, _ in held], pa.int32()), pa.array([f for _, f in held], pa.string()), pa.array(list(held.values()), pa.int64())], names)
+
+    for b in slices(batches):
+        for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.update((y, f) for f in evidence(text) if f[0] not in (LEXICON, PATTERN))
+            if len(held) > HELD:
+                yield out()
+                held.clear()
+    yield out()
 
 
 def mined(sample: DataFrame, toxic: int, clean: int) -> list[str]:
-    """Words and stems that set the toxic rows apart, the strongest first."""
-    each = sample.select("y", F.explode("found").alias("f")).where(~F.col("f").startswith(LEXICON) & ~F.col("f").startswith(PATTERN))
-    often = each.where("y = 1").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, SHARE * toxic))
-    often = often.orderBy(F.desc("n"), "f").limit(20 * FEATURES * 4)
-    other = each.where("y = 0").join(F.broadcast(often.select("f")), "f", "left_semi").groupBy("f").agg(F.count("*").alias("m"))
-    odds = (F.col("n") + 0.5) / (toxic + 1.0) / ((F.coalesce("m", F.lit(0)) + 0.5) / (clean + 1.0))
-    strong = often.join(other, "f", "left").withColumn("odds", odds).where(F.col("odds") >= TIMES)
-    return [r.f for r in strong.orderBy(F.desc(F.col("n") * F.log("odds")), "f").limit(FEATURES).collect()]
+    """Words and stems that set the toxic rows apart, the ``FEATURES`` strongest.  Of stems and
+    words that are in equally many rows and begin alike the longest stands for all."""
+    each = sample.select("y", "_text").mapInArrow(_counted, "y int, f string, n long")
+    both = each.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("m"))
+    odds = (F.col("n") + 0.5) / (toxic + 1.0) / ((F.col("m") + 0.5) / (clean + 1.0))
+    often = both.where(F.col("n") >= max(LEAST, SHARE * toxic)).withColumns({"odds": odds, "base": F.ltrim("f", F.lit(STEM))})
+    strong = often.withColumn("strength", F.col("n") * F.log("odds")).where((F.col("odds") >= TIMES) & (F.col("strength") >= STRENGTH))
+    alike = [F.col("n"), F.col("m"), F.substring("base", 1, min(STEMS)), F.col("f").startswith(STEM * 2)]
+    one = strong.groupBy(*alike).agg(F.max("strength").alias("strength"), F.min_by("f", F.struct(-F.length("base"), F.length("f"), F.col("f"))).alias("f"))
+    return [r.f for r in one.orderBy(F.desc("strength"), "f").limit(FEATURES).collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     sample = sampled(docs, labels, teaches, id_col, text_col)
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
+        release(sample)
         return LEXICON_ONLY
     words = mined(sample, n[1], n[0])
     features = [*words, *_FIXED]
-    # only what is a feature from here on: a text has thousands of words and stems
-    sample = sample.select("y", F.array_intersect("found", F.array(*map(F.lit, features))).alias("found"))
+    place = {f: k for k, f in enumerate(features)}
     groups = [g for g in (words[k::GROUPS] for k in range(GROUPS)) if g]
-    fires = lambda names: F.arrays_overlap("found", F.array(*map(F.lit, names))).cast("int")
-    voters = [F.col("y").cast("int"), *(fires([f]) for f in _FIXED), *(fires(g) for g in groups)]
-    bits = voters[0]
-    for i, v in enumerate(voters[1:], 1):
-        bits = bits + F.shiftleft(v, i)
-    voted = sample.select("found", bits.cast("int").alias("votes"))
+    # voters: the mark, what is fixed, and groups of what was mined
+    voters = [*(frozenset([f]) for f in _FIXED), *map(frozenset, groups)]
+
+    def look(b: pa.RecordBatch) -> dict[str, object]:
+        found = [place.keys() & evidence(t) for t in b.column(1).to_pylist()]
+        bits = [sum(1 << i for i, v in enumerate(voters, 1) if not f.isdisjoint(v)) for f in found]
+        return {
+            "votes": pa.array([y | x for y, x in zip(b.column(0).to_pylist(), bits, strict=True)], pa.int32()),
+            "at": pa.array([sorted(place[x] for x in f) for f in found], pa.list_(pa.int32())),
+        }
+
+    voted = materialise(map_batches(sample, look, [T.StructField("votes", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))], ["y"]), "toxicity-votes")
     seen = voted.groupBy("votes").count().collect()
     patterns = np.array([r.votes for r in seen], np.int64)
-    votes = (patterns[:, None] >> np.arange(len(voters)) & 1).astype(float)
-    posterior = generative_model(votes, np.array([r["count"] for r in seen], float), np.where(votes[:, 0] == 1, 0.9, 0.05))
-    known = docs.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(patterns, posterior, strict=True)], "votes int, q double")
-    row = array_to_vector(F.transform(F.array(*map(F.lit, features)), lambda f: F.array_contains("found", f).cast("double")))
-    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight"))))
+    votes = (patterns[:, None] >> np.arange(len(voters) + 1) & 1).astype(float)
+    model = generative_model(votes, np.array([r["count"] for r in seen], float), np.where(votes[:, 0] == 1, 0.9, 0.05))
+    known = docs.sparkSession.createDataFrame([(int(p), float(q)) for p, q in zip(patterns, model.posterior, strict=True)], "votes int, q double")
+    row = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda k: F.array_contains("at", k).cast("double")))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (BALANCE * F.col("q")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight"))))
     data = voted.join(F.broadcast(known), "votes").select(row.alias("features"), both.alias("b")).select("features", "b.label", "b.weight").where("weight > 1e-6")
-    data = materialise(data.select("label", "weight", "features"), "toxicity-labels")
-    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60).fit(data)
-    return Classifier({f: float(w) for f, w in zip(features, model.coefficients.toArray(), strict=True) if w}, float(model.intercept))
+    data = materialise(data.select("label", "weight", "features").coalesce(4), "toxicity-labels")
+    fitted = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60).fit(data)
+    for table in (sample, voted, data):
+        release(table)
+    return Classifier({f: float(w) for f, w in zip(features, fitted.coefficients.toArray(), strict=True) if w}, float(fitted.intercept), model)
 
 
 def score(docs: DataFrame, classifier: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns in ``keep`` with ``score``, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    shared = docs.sparkSession.sparkContext.broadcast(Classifier(classifier.weights, classifier.base))
 
     def batch(b: pa.RecordBatch) -> dict[str, object]:
         texts: Iterable[str] = b.column(b.num_columns - 1).to_pylist()
