@@ -4,7 +4,7 @@ Three plain patterns report assignments, access identifiers and hexadecimal runs
 stand.  Base64 and hexadecimal candidates are decoded and reported only when the bytes
 parse as what they claim to be: a private key whose DER lengths nest and end exactly, a
 key container whose length-prefixed fields nest, or a signed token whose header names an
-algorithm.
+algorithm.  Base64 is standard or URL-safe, never a mixture, in one line or in several.
 
 Offsets are code points, end exclusive.  Cases: null and empty texts give no spans; whole
 texts are scanned, whatever their length; spans of different kinds may overlap; only the
@@ -39,9 +39,12 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 #: A signed token may stand at any of the dotted parts.
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){2,}")
-#: Base64 in one run or wrapped into lines, as armoured keys are.  Lines that follow the key,
-#: such as dashes or a word, may be taken too; the key's own length tells where it ends.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Base64 in one run or wrapped into lines, as armoured keys are, with line ends as they are or
+#: written out, as in JSON.  Lines that follow the key, such as dashes or a word, may be taken
+#: too; the key's own length tells where it ends.
+_NEWLINE = r"(?:\r?\n|(?:\\r)?\\n)"
+_BASE64 = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr]))[A-Za-z0-9+/_-]{40,}(?:" + _NEWLINE + r"[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK = re.compile(_NEWLINE)
 _MAGIC = b"openssh-key-v1\x00"
 #: Beginnings of an object in base64.
 _HEADERS = ("ey", "ew", "e3", "IC", "Cn", "DQ")
@@ -122,6 +125,9 @@ def private_container(data: bytes) -> bool:
 
 
 def unbase64(text: str) -> bytes | None:
+    """What base64 in either alphabet, but not in both, stands for."""
+    if ("+" in text or "/" in text) and ("-" in text or "_" in text):
+        return None
     plain = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
@@ -169,7 +175,9 @@ def extent(peek: Callable[[int, int], bytes]) -> int | None:
 
 def base64_keys(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
     """Keys in the lines of a run of base64: each starts with a line and ends with one."""
-    lines = [(start + m.start(), start + m.end()) for m in re.finditer(r"[^\r\n=]+", text[start:end])]
+    breaks = [m.span() for m in _BREAK.finditer(text, start, end)]
+    cuts = [start, *(x for s in breaks for x in s), len(text[start:end].rstrip("=")) + start]
+    lines = list(zip(cuts[::2], cuts[1::2], strict=True))
     plain = "".join(text[s:e] for s, e in lines)
     ends = list(accumulate(e - s for s, e in lines))
     k = 0
