@@ -245,7 +245,7 @@ def test_secrets_end_where_their_lengths_say():
         sec1 = element(0x30, element(2, b"\x01"), element(4, rng.randbytes(32)), element(0xA1, rng.randbytes(n)))
         container = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 30) + field(b"s" * n)
         for key, kind in ((sec1, "der"), (container, "openssh")):
-            for padded, newline in ((True, "\n"), (False, "\n"), (False, "\r\n")):
+            for padded, newline in ((True, "\n"), (False, "\n"), (False, "\r\n"), (True, "\\n"), (False, "\\r\\n")):
                 body = newline.join(re.findall(".{1,64}", base64.b64encode(key).decode()))
                 body = body if padded else body.rstrip("=")
                 for before, after in (("-----BEGIN KEY-----", "-----END KEY-----"), ("it reads", "word after it"), ("", "w" * 70), ("a/path/" * 8, ""), ("x", body)):
@@ -294,7 +294,7 @@ def test_generative_model_finds_the_classes():
     rates = [(0.02, 0.7), (0.05, 0.6), (0.1, 0.8), (0.3, 0.35), (0.03, 0.5)]
     votes = np.stack([np.where(y, rng.random(4000) < b, rng.random(4000) < a) for a, b in rates], axis=1).astype(float)
     votes = np.concatenate([votes, votes[:, 3:4]], axis=1)
-    posterior = toxicity.generative_model(votes, np.ones(4000), np.where(votes[:, 0] == 1, 0.9, 0.05))
+    posterior = toxicity.generative_model(votes, np.ones(4000), np.where(votes[:, 0] == 1, 0.9, 0.05)).posterior
     assert ((posterior > 0.5) == y).mean() > 0.93
 
 
@@ -318,8 +318,8 @@ def test_decontamination_by_brute_force(spark):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {i: {tuple(split(t)[k : k + 10]) for k in range(max(len(split(t)) - 9, min(1, len(split(t)))))} for i, t in items}
     docs, table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
-    for size in (decontaminate.BLOCK_BYTES, 300):  # one automaton, and several
-        for r in decontaminate.find(docs, table, block_bytes=size).collect():
+    for size in (decontaminate.BLOCK_WORDS, 90):  # one automaton, and several
+        for r in decontaminate.find(docs, table, block_words=size).collect():
             w, hit, found = split(texts[r.doc_id]), set(), set()
             for i, ws in windows.items():
                 for x in ws:

@@ -8,9 +8,13 @@ row then takes its count from there.
 The normaliser of the piece tokenizer turns spaces into its word sign and does nothing
 else, so two texts that agree after that have equal counts.
 
-Moving text once is the whole cost: rows are thinned to one per content within each input
-partition before they are dealt by digest, so that a content that a third of all rows
-share is sent once per input partition; a left-anti join on the digests then drops hits.
+Moving text once is the whole cost: rows are thinned within each input partition before
+they are dealt by digest, so that a content that a third of all rows share is sent about once
+per input partition; a left-anti join on the digests then drops hits.  Within a dealt
+partition rows are sorted by digest, so the first of each is known without holding others.
+
+Writers need no lock: two that miss the same content both append its count, and readers take
+one row of each key.  Rows of a key that disagree are an error, never a guess.
 
 Cases: null counts as the empty text, which has no tokens; whole texts are encoded;
 repeated rows and repeated contents share one cache entry; an empty table gives an empty
@@ -21,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -49,15 +55,36 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.translate(text, " ", "▁"), 256))
 
 
-def first_of_each(batches):
-    """Drops the rows of a partition whose digest has come before in it."""
-    seen: set[bytes] = set()
+#: Digests that a task remembers while it thins.
+REMEMBERED = 100_000
+
+
+def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops rows whose digest is one of the ``REMEMBERED`` last ones: most repeats, not all."""
+    seen: OrderedDict[bytes, None] = OrderedDict()
+    for b in batches:
+        keep = []
+        for k, digest in enumerate(b.column(0).to_pylist()):
+            if digest in seen:
+                seen.move_to_end(digest)
+                continue
+            seen[digest] = None
+            keep.append(k)
+            if len(seen) > REMEMBERED:
+                seen.popitem(last=False)
+        if keep:
+            yield b.take(pa.array(keep))
+
+
+def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each digest, of rows in order of digest."""
+    last = None
     for b in batches:
         keep = []
         for k, digest in enumerate(b.column(0).to_pylist()):
-            if digest not in seen:
-                seen.add(digest)
+            if digest != last:
                 keep.append(k)
+                last = digest
         if keep:
             yield b.take(pa.array(keep))
 
@@ -66,10 +93,9 @@ def misses(docs: DataFrame, cache: DataFrame, version: str, text_col: str = "tex
     """``content_digest``, ``_text``: once each content that the cache has no count for."""
     rows = docs.select(content_digest(text_of(text_col)).alias("content_digest"), text_of(text_col).alias("_text"))
     schema = rows.schema
-    thinned = rows.mapInArrow(first_of_each, schema)
     known = cache.where(F.col("tokenizer_digest") == version).select("content_digest")
-    missing = thinned.join(known.hint("shuffle_hash"), "content_digest", "left_anti")
-    return missing.repartition("content_digest").mapInArrow(first_of_each, schema)
+    missing = rows.mapInArrow(thinned, schema).join(known.hint("shuffle_hash"), "content_digest", "left_anti")
+    return missing.repartition("content_digest").sortWithinPartitions("content_digest").mapInArrow(first_of_each, schema)
 
 
 def encode_counts(missing: DataFrame, path: str, version: str) -> DataFrame:
@@ -87,11 +113,18 @@ def encode_counts(missing: DataFrame, path: str, version: str) -> DataFrame:
 
 
 def open_cache(spark: SparkSession, cache_path: str) -> DataFrame:
-    """The stored counts; a cache that is not there yet is made, empty."""
+    """The stored rows; a cache that is not there yet is made, empty."""
     spark.createDataFrame([], CACHE_SCHEMA).coalesce(1).write.mode("append").parquet(cache_path)
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
 
+def counts_of(cache: DataFrame, version: str) -> DataFrame:
+    """``content_digest``, ``n_tokens``: one row for each content, however many writers stored it."""
+    own = cache.where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("_most"))
+    agreed = F.when(F.col("n_tokens") == F.col("_most"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("the cache has two counts for one content")).cast("long"))
+    return own.select("content_digest", agreed.alias("n_tokens"))
+
+
 def count(
     docs: DataFrame, path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -104,11 +137,11 @@ def count(
     version = tokenizer_digest(path)
     cache = open_cache(spark, cache_path)
     encode_counts(misses(docs, cache, version, text_col), path, version).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).select("content_digest", "n_tokens")
+    stored = counts_of(spark.read.schema(CACHE_SCHEMA).parquet(cache_path), version)
     text = text_of(text_col)
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("content_digest"))
     return rows.join(stored, "content_digest", "left").select(id_col, "n_bytes", "n_tokens")
 
 
-def report(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
-    return count(docs, path).withColumn("over_limit", F.col("n_tokens") > limit)
+def report(docs: DataFrame, path: str, limit: int = 4096, cache_path: str | None = None) -> DataFrame:
+    return count(docs, path, cache_path).withColumn("over_limit", F.col("n_tokens") > limit)
