@@ -6,7 +6,11 @@ import json
 import random
 import re
 import string
+import time
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -186,6 +190,28 @@ def test_language_distance_by_brute_force():
 
     text = "The the cat. Été, l'été! a b"
     assert language.ranked(language.ngrams(text), 1000).tolist() == grams(text)
+    learnt = {"en": "the cat and the dog went there and then", "fr": "le chat et le chien sont là avec été", "de": "die katze und der hund sind dort über"}
+    profiles = {k: grams(v)[: language.RANKS] for k, v in learnt.items()}
+    every = sorted({g for p in profiles.values() for g in p})
+    ranks = np.full((3, len(every)), language.RANKS)
+    names = sorted(profiles)
+    for i, k in enumerate(names):
+        for r, g in enumerate(profiles[k]):
+            ranks[i, every.index(g)] = r
+    own = language.Profiles(tuple(names), np.array(every, np.int64), ranks)
+    for text in (*learnt.values(), "the chat", "hund und cat", "zzz", "Été là-bas, over there"):
+        mine = grams(text)[: language.COMPARED]
+        away = [sum(abs(profiles[k].index(g) - r) if g in profiles[k] else language.RANKS for r, g in enumerate(mine)) / (language.RANKS * len(mine)) for k in names]
+        assert own.distances(text)[1].tolist() == pytest.approx(away)
+        first = min(range(3), key=lambda i: away[i])
+        assert own.predict(text) == (names[first], pytest.approx(1 - away[first] / sorted(away)[1]))
+
+
+def test_language_of_dirty_columns(spark, docs, monkeypatch):
+    """More languages than may have profiles, rows without id, copies of one text."""
+    monkeypatch.setattr(language, "LANGUAGES", 4)
+    dirty = docs.unionByName(docs.withColumn("lang", F.concat(F.lit("x"), "doc_id")), allowMissingColumns=True).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert language.learn(dirty).languages == language.learn(docs).languages
 
 
 def test_minhash_estimates(docs, texts):
@@ -203,6 +229,26 @@ def test_minhash_estimates(docs, texts):
     assert abs(sum(off) / len(off)) < 0.01 and max(map(abs, off)) < 0.15
 
 
+def test_minhash_neighbours_of_shared_and_missing_ids(spark, monkeypatch):
+    """Runs are cut inside an id that most rows share and among rows without one."""
+    monkeypatch.setattr(minhash, "RUN_BYTES", 200)
+    rng = random.Random(11)
+    rows = [(rng.choice([5, 5, 5, None, None, *range(9)]), f"text {rng.randrange(60)} " + "w " * rng.randrange(20)) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    firsts, _ = minhash.runs_of(docs, "doc_id", "text")
+    assert len({o for o, _ in firsts}) < len(firsts) > 12
+    edited = minhash.edited_report(docs).collect()
+    assert sorted(map(str, (r.doc_id for r in edited))) == sorted(str(i) for i, _ in rows)
+    # the rows in order form one ring: each row is followed by the next
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("d")).collect()
+    ring = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.d))
+    want = []
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        third = len(a.text) // 3
+        want.append((str(a.doc_id), hashlib.sha256((a.text[: len(a.text) - third] + b.text[:third]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in edited) == sorted(want)
+
+
 def test_minhash_long_text_in_parts(monkeypatch):
     words = [f"w{k}" for k in range(5000)]
     whole = minhash.signature(" ".join(words))
@@ -282,13 +328,33 @@ def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.report(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
     toxic, clean = ([r for r in rows if r.toxic == y] for y in (1, 0))
-    assert sum(r.predicted for r in toxic) > 0.8 * len(toxic) and sum(r.predicted for r in clean) < 0.02 * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) < 0.01 * len(clean)
+
+
+def test_toxicity_beats_flipped_marks(spark):
+    """A tenth of the marks that teach are wrong: the posterior and the classifier know better, and the
+    label model sees that the marks are less accurate than they were."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    flip = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    flipped = labels.withColumn("toxic", F.when(flip, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    model = toxicity.learn(docs, flipped, ~toxicity.held_out())
+    label = model.label_model
+    true = labels.where(~toxicity.held_out()).select("doc_id", "toxic")
+    scored = toxicity.score(docs.join(true, "doc_id"), model, ["doc_id", "toxic"]).withColumn("flipped", flip).collect()
+    wrong = sum(r.flipped for r in scored)
+    assert sum((r.score >= 0.5) != (r.toxic == 1) for r in scored) < 0.4 * wrong
+    assert label.rates[1, 0] < 0.95 and label.rates[0, 0] > 0.05  # how often the mark fires in either class
+    assert label.correlations.shape[0] == len(label.rates[0]) and abs(label.prior - 0.11) < 0.05
+
+
+def test_toxicity_reads_whole_texts():
+    text = "AbcdefgHijklmnOpqrstuVwxyz and more of it"
+    assert not any(toxicity.shouts(text[k:]) for k in range(8)) and toxicity.shouts("STOP SHOUTING AT me OVER THERE") and not toxicity.shouts("SHORT")
+    assert toxicity.shouts("é" * 30 + "É" * 31) and not toxicity.shouts("中" * 40)
 
 
 def test_generative_model_finds_the_classes():
     """Voters of known accuracy, two of them copies of each other."""
-    import numpy as np
-
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
     rates = [(0.02, 0.7), (0.05, 0.6), (0.1, 0.8), (0.3, 0.35), (0.03, 0.5)]
@@ -308,6 +374,31 @@ def test_token_counts_and_cache(spark, docs, texts, tmp_path):
         assert stored.count() == len(set(texts.values()))  # nothing is encoded twice, now or later
 
 
+def test_token_cache_with_two_writers(spark, tmp_path):
+    """Both saw a miss and both stored it: still one count for a row; counts that disagree are an error."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two words", "two words", None, ""])], "doc_id long, text string")
+    cache, version = f"file://{tmp_path}/cache", token_counts.tokenizer_digest(PIECE)
+    stored = token_counts.open_cache(spark, cache)
+    for _ in range(2):
+        token_counts.encode_counts(token_counts.misses(docs, stored.limit(0), version), PIECE, version).write.mode("append").parquet(cache)
+    rows = token_counts.count(docs, PIECE, cache).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(i, len(library.encode(t or ""))) for i, t in enumerate(["one", "two words", "two words", None, ""])]
+    assert spark.read.parquet(cache).count() == 6
+    spark.read.parquet(cache).limit(1).withColumn("n_tokens", F.lit(99).cast("long")).write.mode("append").parquet(cache)
+    with pytest.raises(Exception, match="two counts"):
+        token_counts.count(docs, PIECE, cache).collect()
+
+
+def test_token_counts_thinning_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([k % 5]) for k in range(50)] + [b"x"] * 9)], ["content_digest"])
+    left = [r for b in token_counts.thinned(iter([batch])) for r in b.column(0).to_pylist()]
+    assert set(left) == {*(bytes([k]) for k in range(5)), b"x"} and left.count(b"x") == 1
+    ordered = pa.RecordBatch.from_arrays([pa.array(sorted(left))], ["content_digest"])
+    assert [r for b in token_counts.first_of_each(iter([ordered, ordered.slice(50)])) for r in b.column(0).to_pylist()] == sorted(set(left))
+
+
 def test_decontamination_by_brute_force(spark):
     rng = random.Random(9)
     words = ["one", "TWO", "drei", "été", "5", "x"]
@@ -337,24 +428,66 @@ def test_decontamination_by_brute_force(spark):
 def test_pii_surrogates(spark):
     text = "Mail Bob.Smith42@mail1.example.net or bob.smith42@MAIL1.example.net, call +1 (944) 555-6250; 42.144.35.254, 10.1.2.3, 4111 1111 1111 1111, DE89 3704 0044 0532 0130 00. Mrs. Anna Müller met Herr Schmidt, and Dr Anna Müller left. Пишите иван@почта.example.org"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "clean 2024-01-15 v1.2 4111 1111 1111 1112"), (4, "Mr Anna"), (5, None)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in pii.rewrite(docs, found_col="found").collect()}
+    rows = {r.doc_id: r for r in pii.rewrite(docs, "k", found_col="found").collect()}
     assert rows[1].text == rows[2].text and rows[3].text == "clean 2024-01-15 v1.2 4111 1111 1111 1112" and rows[5].text is None
     before = pii.entities_of(text)
     after = rows[1].found
-    assert [e.kind for e in after] == [e[2] for e in before] and len(before) >= 9
+    assert [e.kind for e in after] == [e[2] for e in before] and len(before) >= 12
     for (a, b, kind, value, _), e in zip(before, after, strict=True):
         old, new = text[a:b], rows[1].text[e.start : e.end]
         assert new == e.value and new != old and value not in rows[1].text
         if kind in ("card", "iban", "phone"):
             assert [c.isalnum() for c in new] == [c.isalnum() for c in old] and pii.canonical(kind, new)
     by = [rows[1].text[e.start : e.end].lower() for e in after if e.kind == "name"]
-    assert by[0] == by[2] != by[1]  # the same person, another person
+    assert by[:2] == by[3:5] and by[2] not in by[:2]  # the same person, another person
     mails = [rows[1].text[e.start : e.end].lower() for e in after if e.kind == "email"]
     assert mails[0] == mails[1]
     private = next(rows[1].text[e.start : e.end] for e, x in zip(after, before, strict=True) if x[3] == "10.1.2.3")
     assert private.startswith("10.")
 
 
+def test_pii_names_stay_one_person(spark):
+    """Whole, bare and partial mentions, particles, both orders of a name in two documents."""
+    texts = ["Mr John Smith came. John Smith left, said SMITH. Mr Smith's dog; John.", "Mrs. Mary Smith and Dr. Ana de la Cruz met Herr von Goethe. Goethe wrote to Cruz.", "Smith without a title, Goethe too"]
+    rows = {r.doc_id: r.text for r in pii.rewrite(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    words = [re.findall(r"[^\W\d_]+", rows[i]) for i in range(3)]
+    john, smith = words[0][1:3]
+    assert rows[0] == f"Mr {john} {smith} came. {john} {smith} left, said {smith.upper()}. Mr {smith}'s dog; {john}."
+    mary, ana, cruz, goethe = words[1][1], words[1][5], words[1][8], words[1][12]
+    assert rows[1] == f"Mrs. {mary} {smith} and Dr. {ana} de la {cruz} met Herr von {goethe}. {goethe} wrote to {cruz}."
+    assert len({john, smith, mary, ana, cruz, goethe, "John", "Smith", "Mary", "Ana", "Cruz", "Goethe"}) == 12
+    assert rows[2] == texts[2]
+    assert pii.surrogate("name", "john", "m", 0, "k") != pii.surrogate("name", "john", "m", 0, "other")
+
+
+def test_pii_over_a_corpus_by_brute_force(spark, docs, texts):
+    """One surrogate for an entity and one entity for a surrogate, none of them in the corpus; the rest as it was."""
+    rows = {r.doc_id: r for r in pii.rewrite(docs, "k", found_col="found").collect()}
+    one, back, values = {}, {}, set()
+    for i, text in texts.items():
+        before, after, new = pii.entities_of(text), rows[i].found, rows[i].text
+        rest = [[t[a:b] for a, b in zip([0, *(x[1] for x in at)], [*(x[0] for x in at), len(t)], strict=True)] for t, at in ((text, [x[:2] for x in before]), (new, [(e.start, e.end) for e in after]))]
+        assert rest[0] == rest[1] and len(before) == len(after)
+        for (a, b, kind, value, _), e in zip(before, after, strict=True):
+            shown = pii.canonical(kind, e.value)
+            assert one.setdefault((kind, value), shown) == shown and back.setdefault((kind, shown), value) == value
+            values.add((kind, value))
+    assert len(one) > 10 and not values & set(back)
+
+
+def test_pii_addresses_and_country_codes():
+    found = lambda t: [(e[2], t[e[0] : e[1]]) for e in pii.entities_of(t)]
+    assert found("x fe80::1, 2001:db8:85a3::8a2e:370:7334 at 10:30:45, std::vector a::b :: 1:2:3:4:5:6:7:8") == [("ip", x) for x in ("fe80::1", "2001:db8:85a3::8a2e:370:7334", "1:2:3:4:5:6:7:8")]
+    assert found("иван@почта.рф, joe@münchen.de, a.b@xn--mnchen-3ya.de") == [("email", x) for x in ("иван@почта.рф", "joe@münchen.de", "a.b@xn--mnchen-3ya.de")]
+    for phone, code in (("+33 6 12 34 56 78", "+33 "), ("0033 612345678", "0033 "), ("+49 (0)30 1234567", "+49 (0)"), ("+1 (944) 555-6250", "+1 ("), ("+351 912 345 678", "+351 ")):
+        value = pii.canonical("phone", phone)
+        new = pii.formatted("phone", phone, pii.surrogate("phone", value, "", 0, "k"))
+        assert new.startswith(code) and new != phone and [c.isdigit() for c in new] == [c.isdigit() for c in phone]
+    assert pii.canonical("phone", "+33 612345678") == pii.canonical("phone", "0033 612345678")
+    for kind, value in (("ip", "8.8.8.8"), ("national", "123456789"), ("ip", "172.20.1.1")):
+        assert pii.pool_of(kind, pii.permuted(kind, value, "k")) == pii.pool_of(kind, value)
+
+
 def test_pii_kinds_and_what_is_left_alone():
     kinds = lambda t: [(e[2], t[e[0] : e[1]]) for e in pii.entities_of(t)]
     for phone in ("+33 6 12 34 56 78", "+19445556250", "(944) 555-6250", "944-555-6250", "+1 (017) 555-7713"):
@@ -412,7 +545,53 @@ def test_licenses():
     assert names("the license of a driver, all rights to be reserved later") == []
     for name, sentences in licenses.SENTENCES.items():
         for s in sentences:
-            assert [i[3] for i in licenses.identifiers(s)] == [name]
+            assert [i[3] for i in licenses.identifiers(s)] == [name], s
+    for name, s in licenses.notices():
+        assert [i[3] for i in licenses.identifiers(s + ".")] == [name], s
+    assert names("This project is licensed under the MIT License - see the LICENSE file for details") == ["MIT"]
+    assert names("// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode") == ["Apache-2.0 OR MIT"]
+    assert licenses.licenses_of("It is released under the Foo Public License.") == ([], [licenses.UNKNOWN])
+
+
+@pytest.mark.parametrize("gap", [2, 3])
+def test_license_gap(gap, monkeypatch):
+    monkeypatch.setattr(licenses, "GAP", gap)
+    for n in range(5):
+        text = licenses.SENTENCES["mit-grant"][0] + "\n\n" + "Something else here. " * n + "\n\n" + licenses.SENTENCES["mit-condition"][0]
+        assert ([x[0] for x in licenses.licenses_of(text)[0]] == ["MIT"]) == (n <= gap)
+
+
+def test_license_lines_by_brute_force():
+    """The longest run of whole lines that is a known sentence, from each line on."""
+    rng = random.Random(12)
+    known = {" ".join(w for w, _ in licenses.words_of(s)): n for n, s in [*licenses.notices(), *((n, s) for n, ss in licenses.SENTENCES.items() for s in ss)]}
+
+    def brute(lines):
+        out, i = [], 0
+        while i < len(lines):
+            best = next((j for j in range(len(lines), i, -1) if " ".join(w for line in lines[i:j] for w, _ in licenses.words_of(line)) in known), None)
+            if best:
+                out.append(known[" ".join(w for line in lines[i:best] for w, _ in licenses.words_of(line))])
+            i = best or i + 1
+        return out
+
+    pieces = [s for n in ("mit-grant", "bsd-source", "gpl-later", "apache-may") for s in licenses.SENTENCES[n]] + ["Licensed under the MIT License", "some words of the license", "all"]
+    for _ in range(300):
+        words = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))).replace(".", "").replace(":", "").split(" ")
+        lines, k = [], 0
+        while k < len(words):
+            n = rng.choice([1, 3, 8, 200])
+            lines.append(" ".join(words[k : k + n]))
+            k += n
+        text = "\n".join(x for line in lines for x in ([line, "---"] if rng.random() < 0.2 else [line]))
+        assert [i[3] for i in licenses.identifiers(text) if i[3] != licenses.UNKNOWN] == brute(lines)
+
+
+def test_licenses_of_long_texts():
+    for text in ("licence\n" + "---\n" * 50_000, "licence " + "." * 50_000 + "x", "licensed under " * 20_000, "licensed under the\n" * 20_000):
+        start = time.perf_counter()
+        licenses.licenses_of(text)
+        assert time.perf_counter() - start < 3
 
 
 @pytest.mark.parametrize(
@@ -427,7 +606,7 @@ def test_licenses():
         lambda d: toxicity.report(d, d.select("doc_id", F.lit(1).alias("toxic"))),
         lambda d: token_counts.report(d, PIECE),
         lambda d: decontaminate.report(d, d.select(F.col("doc_id").alias("item_id"), "text")),
-        pii.report,
+        lambda d: pii.report(d, "k"),
     ],
     ids=["bpe", "simhash", "licenses", "language", "minhash", "secrets", "toxicity", "token_counts", "decontaminate", "pii"],
 )
@@ -455,6 +634,23 @@ def test_pipeline(spark, docs, texts):
             assert decoded == texts[r.doc_id]
 
 
+def test_tables_are_deleted(spark, docs):
+    """Those of a scratch but the one kept; those released; without a shared folder only a local session works."""
+    from tidewater.llm import common
+
+    before = set(common._PATHS)
+    with common.scratch(spark) as kept:
+        kept.append(common.materialise(simhash.keep_one(docs), "kept"))
+    assert len(common._PATHS - before) == 1 and kept[0].count() > 0
+    common.release(kept[0])
+    assert common._PATHS == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ"):
+        spark.read.parquet(kept[0].inputFiles()[0]).count()
+    elsewhere = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.shared_dir(elsewhere)
+
+
 def test_pipeline_stages_on_awkward_tables(spark, awkward, empty, docs):
     import corpus_pipeline
 

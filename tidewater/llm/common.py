@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Where tables that were written stand, as long as somebody holds them.
+#: The tables that were written and not deleted yet, and the paths of those that somebody holds.
+_PATHS: set[str] = set()
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -39,17 +41,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
+    _PATHS.add(path)
     _WRITTEN[table] = path
     return table
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _PATHS.discard(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote and that nothing will read again."""
     for table in tables:
         if path := _WRITTEN.pop(table, None):
-            spark = table.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end what was written within it, but for the tables put into the list."""
+    before, kept = set(_PATHS), []
+    yield kept
+    for path in _PATHS - before - {_WRITTEN.get(t) for t in kept}:
+        _delete(spark, path)
 
 
 def field(df: DataFrame, name: str) -> T.StructField:

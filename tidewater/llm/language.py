@@ -8,8 +8,9 @@ profile lacks the n-gram.  The language with the smallest distance is predicted.
 N-grams are one to three letters long, lower-cased, and don't cross a word; a word is
 padded with one blank at either end.  An n-gram is packed exactly into 64 bits.
 
-Profiles are learnt in Spark from at most about ``sample`` rows of each language, drawn by
-a hash of the text; only row counts and profiles (languages x ranks) reach the driver.
+Profiles are learnt in Spark from at most about ``sample`` rows of each of the ``LANGUAGES``
+most frequent languages, drawn by a hash of id and text, so that copies of one text don't come
+together; only row counts and profiles (languages x ranks) reach the driver.
 
 Cases: null, empty and letterless texts are ``und`` with score 0; whole texts are ranked;
 ties between n-grams go to the smaller n-gram, between languages to the first by name (so
@@ -35,6 +36,8 @@ from tidewater.llm.common import map_batches, slices, text_of
 
 #: Ranks of a profile, n-grams of a document that are compared, rows of a language that teach, longest n-gram.
 RANKS, COMPARED, SAMPLE, LONGEST = 400, 300, 20_000, 3
+#: The most frequent languages that have profiles; a column that holds anything has no more.
+LANGUAGES = 200
 UNKNOWN = "und"
 #: A text belongs to none of the languages if its smallest distance is beyond this share of the way
 #: from the ninth decile of the teaching documents' to 1; documents that give a bound of their own.
@@ -115,15 +118,17 @@ def size(n: int) -> int:
     return n.bit_length() if n < COMPARED else COMPARED.bit_length() + 1
 
 
-def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, bounded: bool = True) -> Profiles:
+def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, bounded: bool = True, id_col: str = "doc_id") -> Profiles:
     """Profiles from the rows for which ``teaches`` holds and that have a language; with bounds,
     for which a quarter of the rows that teach are read once more, if ``bounded``."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (teaches if teaches is not None else F.lit(True)))
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64(text_col, F.lit("profile")), F.lit(1 << 20)) < share * (1 << 20))
+    lang = F.col(lang_col).cast("string")
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    if not sizes:
+        return Profiles((), np.empty(0, np.int64), np.empty((0, 0), np.int64))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n)))), lang)
+    chance = lambda salt, n: F.pmod(F.xxhash64(id_col, text_col, F.lit(salt)), F.lit(n))
+    drawn = rows.where(chance("profile", 1 << 20) < F.coalesce(share, F.lit(0.0)) * (1 << 20))
 
     def count(batches):
         held: dict[str, dict[int, int]] = {}
@@ -141,7 +146,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
                 held = {}
         yield from _rows(held)
 
-    counted = drawn.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "lang string, gram long, n long")
+    counted = drawn.select(lang, F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < RANKS).collect()
@@ -154,7 +159,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
     if not bounded or not languages:
         return profiles
     few = F.lit(sum(min(n, sample) for n in sizes.values()) <= 4 * sample // 10)  # all of a small table
-    return replace(profiles, bounds=bounds(drawn.where(few | (F.pmod(F.xxhash64(text_col, F.lit("bound")), F.lit(4)) == 0)), profiles, text_col))
+    return replace(profiles, bounds=bounds(drawn.where(few | (chance("bound", 4) == 0)), profiles, text_col))
 
 
 def bounds(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> tuple[float, ...]:

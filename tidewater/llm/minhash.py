@@ -6,8 +6,10 @@ number again and again until a bin that has a value comes up (optimal densificat
 each bin four bits are kept, packed; the likeness of two fingerprints is the share of equal
 bins, corrected for the share that agrees by chance.
 
-``neighbours`` deals rows into runs of consecutive ids, each run with the first row of the
+``neighbours`` deals rows into runs of consecutive rows, each run with the first row of the
 next one, so that a row and its successor meet in one task with one shuffle of the texts.
+Rows are in order of id and then of a digest of the text, and runs are cut between any two,
+so an id that many rows share, or none at all, fills as many runs as it needs.
 
 Cases: null counts as empty; texts without words have the zero fingerprint, equal to each
 other (likeness 1) and unlike any other (0); a text of fewer than five words is one
@@ -23,18 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import map_batches, slices, text_of
+from tidewater.llm.common import map_batches, materialise, release, slices, text_of
 
 #: Words in a shingle, bins, bits kept of a bin.
 WIDTH, BINS, BITS = 5, 512, 4
 #: Words hashed at a time; attempts of densification looked up at a time.
 PART, ATTEMPTS = 50_000, 32
-#: Bytes of text in a run of consecutive ids, and the most runs (their first ids go through the driver).
-RUN_BYTES, MOST_RUNS = 4_000_000, 50_000
+#: Bytes of text in a run of consecutive rows (16 bytes for each run go through the driver), and in a task.
+RUN_BYTES, TASK_BYTES = 4_000_000, 64_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -159,37 +161,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, batch, [T.StructField("fingerprint", T.StringType())], [id_col])
 
 
-def runs_of(docs: DataFrame, id_col: str, text_col: str) -> list[int]:
-    """The first ids of runs of consecutive ids, in descending order."""
+def runs_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[list[tuple[int, int]], int]:
+    """Place in the order of ids and digest of the first row of every run, and bytes of all
+    texts.  Spark's range partitioning of keys alone finds the cuts."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
-    n = min(MOST_RUNS, max(size // RUN_BYTES + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = docs.agg(F.max(id_col).alias("top"), F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("cuts")).first()
-    return sorted({found.top, *(found.cuts or ())}, reverse=True) if found.top is not None else []
+    text = text_of(text_col)
+    keys = docs.select(_order(F.col(id_col)).alias("o"), F.xxhash64(text).alias("d"), F.octet_length(text).cast("long").alias("n"))
+    keys = materialise(keys, "minhash-keys")
+    size = keys.agg(F.sum("n")).first()[0] or 0
+    n = max(size // RUN_BYTES + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = keys.select("o", "d").repartitionByRange(n, "o", "d").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("o", "d")).alias("k"))
+    found = sorted((r.k.o, r.k.d) for r in ranged.collect())
+    release(keys)
+    return found, size
+
+
+def _order(identity: Column) -> Column:
+    """Descending ids, nulls last, as ascending numbers: the complement of the id."""
+    return F.coalesce(F.bitwise_not(identity.cast("long")), F.lit((1 << 63) - 1))
 
 
 def neighbours(
-    docs: DataFrame, each: Callable[[Iterator[tuple[int, str]]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, each: Callable[[Iterator[tuple[int, bool, int, str]]], Iterator[pa.RecordBatch]], schema: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """What ``each`` makes of every run of rows in descending order of id; it is given the id
-    and text of each row of a run, then None, then what the last row is followed by."""
-    first = runs_of(docs, id_col, text_col)
-    cuts = np.array(first[::-1], np.int64)
+    """What ``each`` makes of the rows of every run in order: run, whether the row is the first of
+    the next run, id and text."""
+    firsts, size = runs_of(docs, id_col, text_col)
+    orders, digests = (np.array([x[k] for x in firsts[1:]], np.int64) for k in (0, 1))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
-    def places(ids: pa.Array) -> pa.Array:
+    def places(order: pa.Array, digest: pa.Array) -> pa.Array:
         """The run of a row; for the first of a run also -1 - the run before it."""
-        none = ids.is_null().to_numpy(zero_copy_only=False)
-        x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        at = np.searchsorted(cuts, x, "left")
-        run = np.where(none, max(len(cuts) - 1, 0), len(cuts) - 1 - at)
-        head = ~none & (cuts[np.minimum(at, len(cuts) - 1)] == x) if len(cuts) > 1 else np.zeros(len(x), bool)
-        return pa.array([[r, -1 - (r - 1) % len(cuts)] if h else [r] for r, h in zip(run.tolist(), head.tolist(), strict=True)], pa.list_(pa.int64()))
+        o, d = (x.to_numpy(zero_copy_only=False) for x in (order, digest))
+        low, high = np.searchsorted(orders, o, "left"), np.searchsorted(orders, o, "right")
+        run = low.copy()
+        head = np.zeros(len(o), bool)
+        for k in np.flatnonzero(low < high).tolist():
+            run[k] = low[k] + np.searchsorted(digests[low[k] : high[k]], d[k], "right")
+            head[k] = run[k] > low[k] and digests[run[k] - 1] == d[k]
+        return pa.array([[r, -r] if h else [r] for r, h in zip(run.tolist(), head.tolist(), strict=True)], pa.list_(pa.int64()))
 
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.explode(places(F.col(id_col).cast("long"))).alias("place"))
-    rows = rows.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("run"), (F.col("place") < 0).alias("ahead"), "id", "text")
-    dealt = rows.repartition("run").sortWithinPartitions("run", "ahead", F.desc_nulls_last("id"), F.xxhash64("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), _order(F.col(id_col)).alias("o"), F.xxhash64(text).alias("d"))
+    # the first row of all follows the last
+    opens = (F.col("o") == firsts[0][0]) & (F.col("d") == firsts[0][1]) if firsts else F.lit(False)
+    placed = keyed.withColumn("place", places("o", "d"))
+    placed = placed.withColumn("place", F.when(opens, F.concat("place", F.array(F.lit(-len(firsts)).cast("long")))).otherwise(F.col("place")))
+    rows = placed.select("id", "text", "o", "d", F.explode("place").alias("place"))
+    rows = rows.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("run"), (F.col("place") < 0).alias("ahead"), "o", "d", "id", "text")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
+    dealt = rows.repartition(tasks, "run").sortWithinPartitions("run", "ahead", "o", "d").select("run", "ahead", "id", "text")
 
     def run(batches):
         yield from each((r, a, i, t) for b in slices(batches) for r, a, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -199,23 +220,17 @@ def neighbours(
 
 def pairs(rows: Iterator[tuple[int, bool, int, str]]) -> Iterator[tuple[int, str, object, str, object]]:
     """Each row of the runs with its successor: id, text, signature; the successor's text and signature."""
-    run = first = last = None
+    run = last = own = None
     over = False
     for r, ahead, i, text in rows:
         if r != run:
-            if last is not None and not over:
-                yield (*last, *first)
-            run, first, last, over = r, None, None, False
+            run, last, over = r, None, False
         if over:
-            continue  # rows that share the id of the next run's first
-        own = (text, signature(text))
+            continue  # rows equal to the next run's first
+        own = own if own is not None and own[0] == text else (text, signature(text))
         if last is not None:
             yield (*last, *own)
-        elif not ahead:
-            first = own
         over, last = ahead, (i, *own)
-    if last is not None and not over:
-        yield (*last, *first)
 
 
 REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import os
+import secrets as random
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import bpe, decontaminate, language, licenses, minhash, pii, secrets, simhash, token_counts, toxicity
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+def tokenizer_path(name: str) -> str:
+    return str(public_tokenizers.path(name))
 
 
-def tokenizer_path(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+def surrogate_key(spark: SparkSession) -> str:
+    """The key that the session names in ``spark.tidewater.pii.key``; a session that names none
+    gets one of its own, which nobody can compute."""
+    key = spark.conf.get("spark.tidewater.pii.key", None)
+    if not key:
+        key = random.token_hex(32)
+        spark.conf.set("spark.tidewater.pii.key", key)
+    return key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +57,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    """With a cache that outlives the query if ``spark.tidewater.tokens.cache`` names its folder."""
+    cache = spark.conf.get("spark.tidewater.tokens.cache", None)
+    return token_counts.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), cache_path=cache)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +67,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
