@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators import ordering
+
 
 def bit_length(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).otherwise(F.length(F.bin(x)))
@@ -57,9 +59,15 @@ def latency_upper(bin_: Column) -> Column:
     return F.when(bin_ < 128, bin_.cast("long")).otherwise(((65 + bin_ % 64) * F.pow(F.lit(2.0), F.greatest(scale, F.lit(0)))).cast("long") - 1)
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, per_mille: list[int]) -> DataFrame:
-    """Exact percentiles by nearest rank; null where there are no values."""
-    return df.groupBy(*keys).agg(*(F.expr(f"percentile_disc({p / 1000}) within group (order by `{value}`)").alias(f"p{p}") for p in per_mille))
+def nearest_rank(df: DataFrame, keys: list[str], value: str, per_mille: list[int], block: float = 1.0) -> DataFrame:
+    """Exact percentiles by nearest rank; null where there are no values.  Equal values are one
+    row, and ranks are counted in blocks of values, ``block`` wide."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = ordering.running(counted, keys, "_v", F.col("_n"), "_rank", "sum", block)
+    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    at = lambda p: F.min(F.when(F.col("_rank") >= F.greatest(F.ceil(F.col("_all") * p / 1000), F.lit(1)), F.col("_v"))).alias(f"p{p}")
+    found = ranked.join(total, keys).groupBy(*keys).agg(*map(at, per_mille))
+    return df.select(*keys).distinct().join(found, keys, "left")
 
 
 def counter_totals(counters: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,9 +82,17 @@ def rate(value: Column, before: Column, elapsed_ms: Column) -> Column:
 
 def rates(snapshots: DataFrame, keys: list[str], at: str = "uptime_ms", value: str = "value") -> DataFrame:
     """The rate of each snapshot against the one before; rows without value are left out first."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    known = snapshots.where(F.col(value).isNotNull())
-    return known.withColumn("rate", rate(F.col(value), F.lag(value).over(w), F.col(at) - F.lag(at).over(w)))
+    known = ordering.lagged(snapshots.where(F.col(value).isNotNull()), keys, at, {value: "_value", at: "_at"})
+    return known.withColumn("rate", rate(F.col(value), F.col("_value"), F.col(at) - F.col("_at"))).drop("_value", "_at")
+
+
+def counter_deltas(snapshots: DataFrame, keys: list[str], start_ms: int) -> DataFrame:
+    """What each counter came to since the measurement's start: its last value less that of the
+    last snapshot at or before the start (0 without one), which wraps with the counter."""
+    before = F.max_by(F.when(F.col("uptime_ms") <= start_ms, F.col("value")), F.when(F.col("uptime_ms") <= start_ms, F.col("uptime_ms")))
+    both = snapshots.groupBy(*keys).agg(before.alias("_start"), F.max_by("value", "uptime_ms").alias("_end"), F.max("uptime_ms").alias("_at"))
+    delta = F.col("_end") - F.coalesce("_start", F.lit(0))
+    return both.select(*keys, delta.alias("delta"), F.when(F.col("_at") > start_ms, delta * 1000.0 / (F.col("_at") - start_ms)).alias("per_second"))
 
 
 def per_second(events: DataFrame, at_ms: str, start_ms: int, end_ms: int, keys: list[str]) -> DataFrame:
@@ -142,10 +158,57 @@ def regressions(baseline: DataFrame, candidate: DataFrame, case: list[str], thro
     )
 
 
-def offered_load(spark, per_second_: int, seconds: int, start_ms: int = 0) -> DataFrame:
-    """Due times of a steady load, in nanoseconds from the start divided evenly."""
-    n = per_second_ * seconds
-    return spark.range(n).select(F.col("id").alias("index"), (F.lit(start_ms) + F.floor(F.col("id") * 1000 / per_second_)).cast("long").alias("due_ms"))
+def due_ns(index: Column, per_second_: int, period_ms: int = 1, active_ms: int = 1) -> Column:
+    """When an arrival of an offered load is due, in nanoseconds from its start: evenly spaced at
+    the rate; in bursts each period's arrivals are moved together into its active part."""
+    period = period_ms * 1_000_000
+    whole = lambda x: F.floor(x).cast("long")
+    steady = whole(index.cast("decimal(20,0)") * 1_000_000_000 / per_second_)
+    if period_ms == active_ms:
+        return steady
+    return whole(steady / period) * period + whole(F.pmod(steady, F.lit(period)) * active_ms / period_ms)
+
+
+def due_in_ramp(index: Column, stages: list[tuple[int, int]]) -> Column:
+    """The same for a ramp of (rate, seconds): each stage starts where the one before has ended."""
+    due, first, start = F.lit(None).cast("long"), 0, 0
+    for rate_, seconds in stages:
+        due = F.when((index >= first) & (index < first + rate_ * seconds), start + due_ns(index - first, rate_)).otherwise(due)
+        first, start = first + rate_ * seconds, start + seconds * 1_000_000_000
+    return due
+
+
+def lateness_of_load(arrivals: DataFrame, keys: list[str], per_second_: int, period_ms: int = 1, active_ms: int = 1) -> DataFrame:
+    """How far arrivals (``index, at_ms``, from 0) are from a load that was offered: per key their
+    number, the latest, and how many came before they were due."""
+    due = F.floor(due_ns(F.col("index"), per_second_, period_ms, active_ms) / 1_000_000).cast("long")
+    late = arrivals.withColumn("_late", F.col("at_ms") - due)
+    return late.groupBy(*keys).agg(F.count("*").alias("arrivals"), F.max("_late").alias("max_late_ms"), F.count_if(F.col("_late") < 0).alias("early"))
+
+
+def run_summary(requests: DataFrame, keys: list[str], start_ms: int, end_ms: int) -> DataFrame:
+    """A run (``submitted_ms, confirmed_ms, delivered_ms`` or null, ``message_id``): rates inside
+    the window from start to end, totals, distinct records, and how long it took to drain."""
+    inside = lambda c: F.count_if((F.col(c) >= start_ms) & (F.col(c) < end_ms))
+    seconds = (end_ms - start_ms) / 1000
+    drain = lambda c: F.greatest(F.max(c) - end_ms, F.lit(0)) / 1000.0
+    return requests.groupBy(*keys).agg(
+        *((inside(f"{c}_ms") / seconds).alias(f"{c}_per_second") for c in ("submitted", "confirmed", "delivered")),
+        F.count("confirmed_ms").alias("total_confirmed"),
+        F.count_distinct(F.when(F.col("delivered_ms").isNotNull(), F.col("message_id"))).alias("total_verified"),
+        drain("confirmed_ms").alias("writer_drain_s"),
+        drain("delivered_ms").alias("reader_drain_s"),
+    )
+
+
+def group_processing(acks: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Processing by groups (``acks``: outcome confirmed, redelivered or fenced; ``updates``: one row
+    for each request): counts, and acknowledgements for each request, null without any."""
+    told = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    counted = acks.groupBy(*keys).agg(told("confirmed"), told("redelivered"), told("fenced"))
+    asked = updates.groupBy(*keys).agg(F.count("*").alias("update_requests"))
+    joined = counted.join(asked, keys, "full_outer").fillna(0, ["confirmed", "redelivered", "fenced", "update_requests"])
+    return joined.withColumn("acknowledgments_per_update", F.col("confirmed") / F.nullif("update_requests", F.lit(0)))
 
 
 def newest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
@@ -159,9 +222,16 @@ def labelled(totals: DataFrame, labels: DataFrame, show_zero: bool = False) -> D
     return shown if show_zero else shown.where("value <> 0")
 
 
+def digest(*columns: str) -> Column:
+    """Digest of a table's rows in whatever order: the sum of 48 bits of each row's hash, in which,
+    unlike in an exclusive or, no repeat cancels out."""
+    row = F.sha2(F.concat_ws("/", *columns), 256)
+    return F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def lane_digests(records: DataFrame) -> DataFrame:
-    """For each lane count and order-free digests, to hold writers against readers."""
-    return records.groupBy("lane").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"), F.bit_xor(F.crc32(F.concat_ws("/", "lane_sequence", "message_id").cast("binary"))).alias("digest"))
+    """For each lane count and digest of what is where, to hold writers against readers."""
+    return records.groupBy("lane").agg(F.count("*").alias("records"), F.sum("bytes").alias("bytes"), digest("lane_sequence", "message_id").alias("digest"))
 
 
 def selected_runs(runs: DataFrame, case: list[str], compatible: list[str]) -> DataFrame:

@@ -19,25 +19,51 @@ def assign_offsets(attempts: DataFrame, next_offsets: DataFrame | None = None, b
     return placed.join(start, F.col("partition") == F.col("_p"), "left").withColumn("offset", F.col("offset") + F.coalesce("next_offset", F.lit(0))).drop("_p", "next_offset")
 
 
-def validate(attempts: DataFrame) -> DataFrame:
-    """Adds ``error_code``: a missing identity or no part is malformed; within a producer's
-    epoch sequences must follow each other, and epochs never go back."""
-    w = Window.partitionBy("partition", "producer_id").orderBy("arrival_seq")
-    before, epoch = F.lag("sequence").over(w), F.lag("producer_epoch").over(w)
+def validate(attempts: DataFrame, sessions: DataFrame | None = None, opens: bool = False) -> DataFrame:
+    """Adds ``error_code``: a missing identity or no part is malformed; sequences of a producer's
+    epoch are those accepted so far, counted from 0; epochs never go back.  What is refused
+    changes nothing for what comes after.
+
+    ``sessions`` (``partition, producer_id, epoch, next_sequence``) says where producers stand;
+    another epoch than theirs is fenced, unless a later one ``opens`` the next.  A producer
+    without session opens one by its first attempt, and so does a later epoch of it."""
     malformed = F.col("message_id").isNull() | F.col("producer_id").isNull() | (F.coalesce(F.size("parts"), F.lit(0)) < 1)
-    expected = F.when(epoch.isNull() | (F.col("producer_epoch") > epoch), F.lit(0)).otherwise(before + 1)
-    return attempts.withColumn(
-        "error_code",
-        F.when(malformed, int(Error.MALFORMED))
-        .when(F.col("producer_epoch") < epoch, int(Error.FENCED))
-        .when(F.col("sequence") != expected, int(Error.INVALID_SEQUENCE)),
-    )
-
-
-def within_limits(records: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """Adds ``error_code`` where a record has too many bytes or parts."""
+    marked = attempts.withColumn("_malformed", malformed)
+    if sessions is None:
+        marked = marked.withColumns({"_epoch": F.lit(None).cast("long"), "_next": F.lit(None).cast("long")})
+    else:
+        known = sessions.select("partition", "producer_id", F.col("epoch").cast("long").alias("_epoch"), F.col("next_sequence").cast("long").alias("_next"))
+        marked = marked.join(known, ["partition", "producer_id"], "left")
+
+    def start(epoch, sequence, malformed, known, following):
+        return (known, following, known is not None and not opens)
+
+    def step(state, epoch, sequence, malformed, known, following):
+        current, following, fixed = state
+        if malformed:
+            return state, (int(Error.MALFORMED),)
+        if current is not None and (epoch < current or (fixed and epoch != current)):
+            return state, (int(Error.FENCED),)
+        if current is None or epoch > current:
+            current, following = epoch, 0
+        if sequence != following:
+            return (current, following, fixed), (int(Error.INVALID_SEQUENCE),)
+        return (current, following + 1, fixed), (None,)
+
+    out = ordering.folded(marked, ["partition", "producer_id"], ["arrival_seq"], ["producer_epoch", "sequence", "_malformed", "_epoch", "_next"], start, step, "error_code int")
+    return out.select(*attempts.columns, "error_code")
+
+
+def within_limits(records: DataFrame, limits: dict[str, int] = LIMITS, request: str | None = None) -> DataFrame:
+    """Adds ``error_code`` where a record has too many bytes or parts, or its ``request``, if that
+    column is named, too many records or bytes."""
     size = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))
-    return records.withColumn("error_code", F.when((size > limits["record_bytes"]) | (F.size("parts") > limits["parts"]), int(Error.RECORD_TOO_LARGE)))
+    large = (size > limits["record_bytes"]) | (F.size("parts") > limits["parts"])
+    if request is None:
+        return records.withColumn("error_code", F.when(large, int(Error.RECORD_TOO_LARGE)))
+    whole = records.groupBy(request).agg(F.count("*").alias("_records"), F.sum(size).alias("_bytes"))
+    over = (F.col("_records") > limits["records"]) | (F.col("_bytes") > limits["payload_bytes"])
+    return records.join(whole, request).withColumn("error_code", F.when(large, int(Error.RECORD_TOO_LARGE)).when(over, int(Error.MALFORMED))).drop("_records", "_bytes")
 
 
 def resolve_retries(attempts: DataFrame, receipts: DataFrame, floors: DataFrame) -> DataFrame:
@@ -111,6 +137,60 @@ def open_producers(requests: DataFrame, producers: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, code.alias("error_code"), F.when(code.isNull(), F.col("new_epoch")).otherwise(F.col("epoch")).alias("epoch"))
 
 
+def open_by_mode(requests: DataFrame, producers: DataFrame, retired: DataFrame) -> DataFrame:
+    """Requests (``partition, producer_id, mode, expected_epoch``) for sessions: mode 0 resumes a
+    live one or creates one, 1 fences the one whose epoch is expected, 2 creates one only where
+    none is.  A new epoch is one above all that the partition has retired and the session had.
+    ``producers``: partition, producer_id, epoch, next_sequence; ``retired``: partition, epoch."""
+    floor = retired.groupBy("partition").agg(F.max("epoch").alias("_retired"))
+    live = producers.select("partition", "producer_id", F.col("epoch").alias("_epoch"), F.col("next_sequence").alias("_next"))
+    joined = requests.join(live, ["partition", "producer_id"], "left").join(floor, "partition", "left")
+    there, expects = F.col("_epoch").isNotNull(), F.col("expected_epoch").isNotNull()
+    wrong = expects & ~F.col("expected_epoch").eqNullSafe(F.col("_epoch"))
+    code = (
+        F.when(~F.col("mode").isin(0, 1, 2) | ((F.col("mode") == 1) & ~expects) | ((F.col("mode") == 2) & expects), int(Error.MALFORMED))
+        .when(wrong | ((F.col("mode") == 2) & there), int(Error.FENCED))
+    )
+    resumes = (F.col("mode") == 0) & there
+    new = F.greatest(F.coalesce("_epoch", F.lit(0)), F.coalesce("_retired", F.lit(0))) + 1
+    return joined.select(
+        *requests.columns,
+        code.alias("error_code"),
+        F.when(code.isNull(), F.when(resumes, F.col("_epoch")).otherwise(new)).alias("epoch"),
+        F.when(code.isNull(), F.when(resumes, F.col("_next")).otherwise(F.lit(0))).alias("next_sequence"),
+    )
+
+
+def advance_floors(requests: DataFrame, producers: DataFrame) -> DataFrame:
+    """Requests (``partition, producer_id, epoch, expected_floor, new_floor``): the epoch and the
+    floor must be the producer's, and the floor moves forward, at most to its next sequence."""
+    now = producers.select("partition", "producer_id", F.col("epoch").alias("_epoch"), F.col("result_floor").alias("_floor"), F.col("next_sequence").alias("_next"))
+    joined = requests.join(now, ["partition", "producer_id"], "left")
+    code = F.when(~F.col("epoch").eqNullSafe(F.col("_epoch")), int(Error.FENCED)).when(
+        (F.col("expected_floor") != F.col("_floor")) | (F.col("new_floor") <= F.col("expected_floor")) | (F.col("new_floor") > F.col("_next")), int(Error.INVALID_SEQUENCE)
+    )
+    return joined.select("partition", "producer_id", code.alias("error_code"), F.when(code.isNull(), F.col("new_floor")).otherwise(F.col("_floor")).alias("result_floor"))
+
+
+def batches(attempts: DataFrame, most: int, target_bytes: int, keys: list[str] = ("partition",), order: str = "arrival_seq") -> DataFrame:
+    """Adds ``batch``, the number of the request that a record (of ``bytes``) goes with: one takes
+    records while they are ``most`` at most and keep to the target; a larger one goes alone."""
+
+    def step(state, size):
+        number, records, total = state
+        if records and (records == most or total + size > target_bytes):
+            number, records, total = number + 1, 0, 0
+        return (number, records + 1, total + size), (number,)
+
+    return ordering.folded(attempts, list(keys), [order], ["bytes"], lambda size: (0, 0, 0), step, "batch long")
+
+
+def writer_stats(receipts: DataFrame) -> DataFrame:
+    """Per partition what a writer was told: confirmed records by disposition, refusals, the end."""
+    told = lambda d: F.count_if(F.col("disposition") == d).alias(d)
+    return receipts.groupBy("partition").agg(told("stored"), told("duplicate"), told("retry"), F.count_if(F.col("error_code").isNotNull()).alias("refused"), F.max("offset").alias("last_offset"))
+
+
 def idle_producers(activity: DataFrame, now_ms: int, idle_ms: int) -> DataFrame:
     """Producers whose last activity is ``idle_ms`` ago or more."""
     last = activity.groupBy("partition", "producer_id").agg(F.max("append_ms").alias("last_ms"), F.max("sequence").alias("last_sequence"))
@@ -131,8 +211,7 @@ def fingerprint(message_id: Column, parts: Column) -> Column:
 
 def broken_chain(operations: DataFrame) -> DataFrame:
     """Operations (``log, op, digest, predecessor``) whose number or predecessor doesn't follow."""
-    w = Window.partitionBy("log").orderBy("op")
-    before = operations.withColumn("_op", F.lag("op").over(w)).withColumn("_digest", F.lag("digest").over(w))
+    before = ordering.lagged(operations, ["log"], "op", {"op": "_op", "digest": "_digest"})
     bad = F.col("_op").isNotNull() & ((F.col("op") != F.col("_op") + 1) | ~F.col("predecessor").eqNullSafe(F.col("_digest")))
     return before.where(bad).drop("_op", "_digest")
 

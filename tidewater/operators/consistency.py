@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.functions import telemetry
+from tidewater.operators import ordering
+
 KEY = ["partition", "message_id"]
 RETRY = ["partition", "producer_id", "producer_epoch", "sequence"]
 
@@ -36,13 +39,15 @@ def changed_retries(receipts: DataFrame) -> DataFrame:
 
 
 def conflicting_offsets(seen: DataFrame) -> DataFrame:
-    """One place in the log with two values; duplicate attempts don't say what is there."""
-    return seen.where("not attempt_only").groupBy("partition", "offset").agg(F.count_distinct("message_id", "fingerprint").alias("values")).where(F.col("values") > 1)
+    """One place in the log with two values, as reads and receipts tell; only a duplicate's receipt
+    doesn't say what is there (``attempt_only`` rows have a ``disposition``)."""
+    told = seen.where(~(F.col("attempt_only") & F.col("disposition").eqNullSafe("duplicate")))
+    return told.groupBy("partition", "offset").agg(F.count_distinct("message_id", "fingerprint").alias("values")).where(F.col("values") > 1)
 
 
 def duplicate_storage(seen: DataFrame) -> DataFrame:
-    """One identity at two places."""
-    return seen.where("not attempt_only").groupBy(*KEY).agg(F.count_distinct("offset").alias("places")).where("places > 1")
+    """One identity at two places, by whatever row."""
+    return seen.groupBy(*KEY).agg(F.count_distinct("offset").alias("places")).where("places > 1")
 
 
 def wrong_dedup_targets(receipts: DataFrame, seen: DataFrame) -> DataFrame:
@@ -53,8 +58,7 @@ def wrong_dedup_targets(receipts: DataFrame, seen: DataFrame) -> DataFrame:
 
 def reader_order(deliveries: DataFrame) -> DataFrame:
     """Deliveries of a session and partition whose offsets aren't 0, 1, 2, ..."""
-    w = Window.partitionBy("session", "partition").orderBy("delivery_seq")
-    return deliveries.withColumn("expected", F.row_number().over(w).cast("long") - 1).where("offset <> expected")
+    return ordering.position(deliveries, ["session", "partition"], "delivery_seq", "expected").where("offset <> expected")
 
 
 def uninvoked(observed: DataFrame, invoked: DataFrame) -> DataFrame:
@@ -73,6 +77,11 @@ def lost(acknowledged: DataFrame, observed: DataFrame, rounds: DataFrame) -> Dat
     return wanted.join(observed.select("round", "partition", "message_id"), ["round", "partition", "message_id"], "left_anti").select("round", "partition", "message_id")
 
 
+def missing_markers(markers: DataFrame, keys: DataFrame, rounds: list[str]) -> DataFrame:
+    """For each final round the keys (``key``) that no completed marker was written to."""
+    return keys.join(markers.select("key").distinct(), "key", "left_anti").withColumn("round", F.explode(F.array(*map(F.lit, rounds)))).select("round", "key")
+
+
 def minority_confirmations(receipts: DataFrame, quorum: int = 2) -> DataFrame:
     return receipts.where(F.col("votes") < quorum)
 
@@ -84,10 +93,18 @@ def uncovered(writes: DataFrame, expected: DataFrame) -> DataFrame:
 
 def lane_errors(delivered: DataFrame, size: int) -> DataFrame:
     """Deliveries whose offset, lane sequence or size isn't what it must be."""
-    place = Window.partitionBy("partition").orderBy("delivery_seq")
-    lane = Window.partitionBy("lane").orderBy("delivery_seq")
-    bad = (F.col("offset") != F.row_number().over(place) - 1) | (F.col("lane_sequence") != F.row_number().over(lane) - 1) | (F.col("bytes") != size)
-    return delivered.withColumn("_bad", bad).where("_bad").drop("_bad")
+    placed = ordering.position(ordering.position(delivered, ["partition"], "delivery_seq", "_place"), ["lane"], "delivery_seq", "_turn")
+    bad = (F.col("offset") != F.col("_place")) | (F.col("lane_sequence") != F.col("_turn")) | (F.col("bytes") != size)
+    return placed.withColumn("_bad", bad).where("_bad").drop("_bad", "_place", "_turn")
+
+
+def lane_mismatches(written: DataFrame, read: DataFrame) -> DataFrame:
+    """Lanes of which readers haven't got exactly what writers confirmed: by count and digest of
+    places and contents, in which every repeat tells."""
+    side = lambda df, p: telemetry.lane_digests(df).select("lane", F.col("records").alias(f"{p}_records"), F.col("digest").alias(f"{p}_digest"))
+    joined = side(written, "written").join(side(read, "read"), "lane", "full_outer")
+    same = F.col("written_records").eqNullSafe(F.col("read_records")) & F.col("written_digest").eqNullSafe(F.col("read_digest"))
+    return joined.where(~same).select("lane", "written_records", "read_records")
 
 
 def unmatched_faults(faults: DataFrame) -> DataFrame:

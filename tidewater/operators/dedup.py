@@ -7,9 +7,14 @@ stored and anchors the next.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.operators import ordering
 from tidewater.schemas import Error
@@ -20,25 +25,83 @@ def logical_time(attempts: DataFrame, block: int = ordering.BLOCK) -> DataFrame:
     return ordering.running(attempts, ["partition"], "arrival_seq", F.col("append_ms"), "time", "max", block)
 
 
+#: Stands before every arrival: what was stored earlier came first.
+EARLIER = 1 << 60
+#: Windows of time in a block of an identity's attempts.
+WINDOWS = 64
+
+
 def anchors(attempts: DataFrame, window_ms: int) -> DataFrame:
     """Adds ``anchor``: the arrival of the stored attempt that each attempt is or repeats.
 
-    A repeat that comes a window or more after its predecessor is stored whatever lies
-    before, so identities are cut there first, and only the attempts between two cuts are
-    folded.  ``attempts`` has ``partition, message_id, arrival_seq, time``."""
-    w = Window.partitionBy("partition", "message_id").orderBy("time", "arrival_seq")
-    cut = F.coalesce(F.col("time") - F.lag("time").over(w) >= window_ms, F.lit(True))
-    runs = attempts.withColumn("_cut", cut.cast("int")).withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = ["partition", "message_id", "_run"]
-    # attempts of one instant share an anchor: the fold needs each instant once
-    moments = runs.groupBy(*run, "time").agg(F.min("arrival_seq").alias("first"))
-    each = F.sort_array(F.collect_list(F.struct("time", "first")))
-    start = F.array().cast("array<struct<time:bigint,first:bigint>>")
-    fold = F.aggregate(each, start, lambda kept, x: F.when((F.size(kept) == 0) | (x["time"] - F.element_at(kept, -1)["time"] >= window_ms), F.concat(kept, F.array(x))).otherwise(kept))
-    folded = moments.groupBy(*run).agg(fold.alias("_kept"))
-    kept = folded.select(*run, F.explode("_kept").alias("k")).select(*run, F.col("k.time").alias("_from"), F.lead("k.time").over(Window.partitionBy(*run).orderBy("k.time")).alias("_to"), F.col("k.first").alias("anchor"))
-    inside = (F.col("time") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("time") < F.col("_to")))
-    return runs.join(kept, run).where(inside).drop("_cut", "_run", "_from", "_to")
+    ``attempts`` has ``partition, message_id, arrival_seq, time``.  An identity's attempts are
+    cut into blocks of time, which are worked on apart, so one that never pauses is no single
+    task.  What a block makes of an anchor that enters it depends on its first window alone:
+    a table of entries and exits, smaller by the windows in a block, carries the anchor over."""
+    span = WINDOWS * window_ms
+    key = ["partition", "message_id"]
+    blocked = attempts.withColumn("_block", F.floor(F.col("time") / span).cast("long"))
+    moments = blocked.groupBy(*key, "_block", "time").agg(F.min("arrival_seq").alias("first"))
+    types = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
+    named = f"partition {types['partition']}, message_id {types['message_id']}, _block long"
+    several = moments.groupBy(*key).agg((F.min("_block") < F.max("_block")).alias("_several")).where("_several").select(*key)
+    dealt = moments.join(several, key, "left_semi").repartition(*key, "_block").sortWithinPartitions(*key, "_block", "time")
+    entries = dealt.mapInArrow(_entries(window_ms, span), f"{named}, enters long, exits long, first long")
+    carried = entries.repartition(*key).sortWithinPartitions(*key, "_block", "enters").mapInArrow(_carried(window_ms), f"{named}, _time long, _anchor long")
+    joined = blocked.join(carried, [*key, "_block"], "left")
+
+    def step(state, time, arrival, entered, anchor):
+        kept = (time, arrival) if state is None or time - state[0] >= window_ms else state
+        return kept, (kept[1],)
+
+    start = lambda time, arrival, entered, anchor: None if entered is None else (entered, anchor)
+    out = ordering.folded(joined, [*key, "_block"], ["time", "arrival_seq"], ["time", "arrival_seq", "_time", "_anchor"], start, step, "anchor long")
+    return out.drop("_block", "_time", "_anchor")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of a sorted stream by their first columns."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for key, own in groupby(rows, lambda r: r[:keys]):
+        yield key, [r[keys:] for r in own]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+
+def _entries(window_ms: int, span: int):
+    """For each moment that an anchor from before may let through first: where the block ends up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (partition, identity, block), rows in _groups(batches, 3):
+            times = np.array([t for t, _ in rows], np.int64)
+            after = np.searchsorted(times, times + window_ms).tolist()
+            last = list(range(len(rows)))
+            for i in range(len(rows) - 1, -1, -1):
+                last[i] = last[after[i]] if after[i] < len(rows) else i
+            first = int(np.searchsorted(times, block * span + window_ms))
+            out = [(partition, identity, block, rows[i][0], *rows[last[i]]) for i in range(min(first + 1, len(rows)))]
+            yield _batch(out, ["partition", "message_id", "_block", "enters", "exits", "first"])
+
+    return run
+
+
+def _carried(window_ms: int):
+    """The anchor that enters each block, block after block of an identity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identity, anchor = None, None
+        for (*own, block), rows in _groups(batches, 3):
+            if own != identity:
+                identity, anchor = own, None
+            if anchor is not None:
+                yield _batch([(*own, block, *anchor)], ["partition", "message_id", "_block", "_time", "_anchor"])
+            at = 0 if anchor is None else bisect_left(rows, anchor[0] + window_ms, key=lambda r: r[0])
+            if at < len(rows):
+                anchor = rows[at][1:]
+
+    return run
 
 
 def classify(attempts: DataFrame, window_ms: int, block: int = ordering.BLOCK) -> DataFrame:
@@ -53,12 +116,42 @@ def classify(attempts: DataFrame, window_ms: int, block: int = ordering.BLOCK) -
 def outcome_runs(outcomes: DataFrame) -> DataFrame:
     """Outcomes in order of arrival as runs: disposition, first arrival, first offset, count;
     a run ends where the disposition changes or offsets don't run on."""
-    w = Window.partitionBy("partition").orderBy("arrival_seq")
-    runs_on = (F.col("disposition") == F.lag("disposition").over(w)) & (F.col("offset") == F.lag("offset").over(w) + 1)
-    marked = ordering.running(outcomes.withColumn("_new", F.when(F.coalesce(runs_on, F.lit(False)), 0).otherwise(1)), ["partition"], "arrival_seq", F.col("_new").cast("long"), "_run")
+    runs_on = (F.col("disposition") == F.col("_disposition")) & (F.col("offset") == F.col("_offset") + 1)
+    before = ordering.lagged(outcomes, ["partition"], "arrival_seq", {"disposition": "_disposition", "offset": "_offset"})
+    marked = ordering.islands(before, ["partition"], "arrival_seq", ~F.coalesce(runs_on, F.lit(False)), "_run")
     return marked.groupBy("partition", "_run").agg(F.first("disposition").alias("disposition"), F.min("arrival_seq").alias("first_arrival"), F.min("offset").alias("first_offset"), F.count("*").alias("records")).drop("_run")
 
 
+def waiting(outcomes: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Attempts that aren't answered yet (``outcomes`` with ``producer_id``; ``confirmed``:
+    partition, next_offset): a duplicate of a record that isn't confirmed, and whatever its
+    producer sent to the partition after it."""
+    joined = outcomes.join(confirmed.select("partition", F.col("next_offset").alias("_confirmed")), "partition", "left")
+    pending = joined.where((F.col("disposition") == "duplicate") & (F.col("offset") >= F.coalesce("_confirmed", F.lit(0))))
+    since = pending.groupBy("partition", "producer_id").agg(F.min("arrival_seq").alias("_since"))
+    return outcomes.join(since, ["partition", "producer_id"]).where(F.col("arrival_seq") >= F.col("_since")).withColumn("pending", F.col("arrival_seq") == F.col("_since")).drop("_since")
+
+
+def admitted(requests: DataFrame, window_ms: int, max_entries: int) -> DataFrame:
+    """Adds ``error_code``: a request (``partition, request`` in order, ``time``, ``message_ids``) is
+    refused as a whole if the identities it would store make more live ones than
+    ``max_entries``; none is evicted before its window is over, and a refusal changes nothing.
+    What a partition holds is bounded by ``max_entries``."""
+
+    def step(state, time, ids):
+        live, now = state
+        now = max(now, time)
+        for i in [i for i, at in live.items() if now - at >= window_ms]:
+            del live[i]
+        fresh = {i for i in ids if i not in live}
+        if len(live) + len(fresh) > max_entries:
+            return state, (int(Error.CAPACITY),)
+        live.update((i, now) for i in fresh)
+        return (live, now), (None,)
+
+    return ordering.folded(requests, ["partition"], ["request"], ["time", "message_ids"], lambda time, ids: ({}, time), step, "error_code int")
+
+
 def live_identities(outcomes: DataFrame, window_ms: int) -> DataFrame:
     """What a snapshot holds: stored identities still inside the window at their partition's time."""
     now = outcomes.groupBy("partition").agg(F.max("time").alias("_now"))
@@ -70,6 +163,16 @@ def next_expiration(live: DataFrame, window_ms: int) -> DataFrame:
     return live.groupBy("partition").agg((F.min("time") + window_ms).alias("expires_ms"))
 
 
+def restored(snapshot: DataFrame, attempts: DataFrame, window_ms: int) -> DataFrame:
+    """Outcomes of attempts after a snapshot (``live_identities``): its rows stand before all, as
+    stored, and keep their offsets; new ones follow on from ``next_offset`` of nothing but them."""
+    before = snapshot.select("partition", "message_id", (F.col("offset") - EARLIER).alias("arrival_seq"), F.col("time").alias("append_ms"))
+    both = before.unionByName(attempts.select("partition", "message_id", "arrival_seq", "append_ms"))
+    marked = anchors(logical_time(both), window_ms).where("arrival_seq >= 0")
+    known = F.when(F.col("anchor") < 0, F.col("anchor") + EARLIER)
+    return marked.select("partition", "message_id", "arrival_seq", "time", F.when(F.col("anchor") == F.col("arrival_seq"), "stored").otherwise("duplicate").alias("disposition"), "anchor", known.alias("known_offset"))
+
+
 def misclassified(recorded: DataFrame, attempts: DataFrame, window_ms: int) -> DataFrame:
     """Recorded outcomes that a recomputation doesn't give: must be empty."""
     columns = ["partition", "arrival_seq", "disposition", "offset"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,32 @@ def schedule(attempts: DataFrame, max_delay_ms: int) -> DataFrame:
     return accepted.unionByName(checked.where("error_code is not null"), allowMissingColumns=True)
 
 
+def schedule_within(attempts: DataFrame, max_delay_ms: int, max_held: int) -> DataFrame:
+    """Adds ``error_code`` to attempts in order of arrival: a due time past the maximum, or no room:
+    those accepted and not yet released by the partition's time, which append times carry on,
+    are ``max_held`` at most.  A refusal changes nothing; the state is bounded by ``max_held``."""
+
+    def step(state, append, due):
+        held, now = state
+        now = max(now, append)
+        if due > append + max_delay_ms:
+            return state, (int(Error.DUE_TOO_LATE),)
+        while held and held[0] <= now:
+            heappop(held)
+        if len(held) >= max_held:
+            return (held, now), (int(Error.CAPACITY),)
+        heappush(held, max(due, append))
+        return (held, now), (None,)
+
+    return ordering.folded(attempts, ["partition"], ["arrival_seq"], ["append_ms", "due_ms"], lambda append, due: ([], append), step, "error_code int")
+
+
+def due_prefix(held: DataFrame, now_ms: int, most: int) -> DataFrame:
+    """What one step releases: of each partition the first ``most`` due records in order of release key."""
+    due = ordering.position(held.where(F.col("release_ms") <= now_ms), ["partition"], ["release_ms", "schedule"], "at", HOUR)
+    return due.where(F.col("at") < most)
+
+
 def release(held: DataFrame, now_ms: int, next_offsets: DataFrame | None = None) -> DataFrame:
     """The records due at ``now_ms`` in order of release key, with offsets."""
     due = held.where(F.col("release_ms") <= now_ms)

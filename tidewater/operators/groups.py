@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators import ordering
 from tidewater.schemas import Error
 
 
@@ -87,19 +88,24 @@ def ack_cursor(deliveries: DataFrame) -> DataFrame:
 
 def progress_errors(updates: DataFrame, assignments: DataFrame, ends: DataFrame) -> DataFrame:
     """Updates (``group_id, partition, seq, epoch, member_id, expected, next``) in order: each
-    must come from the present assignment, expect what the one before it left, move forward
-    and stay within the log."""
+    must come from the present assignment, expect what the last accepted one left, move forward
+    and stay within the log; what is refused leaves the cursor where it was."""
     key = ["group_id", "partition"]
-    w = Window.partitionBy(*key).orderBy("seq")
-    held = assignments.select(*key, F.col("epoch").alias("_epoch"), F.col("member_id").alias("_member"), F.coalesce("resume_cursor", F.lit(0)).alias("_resume"))
-    joined = updates.join(held, key, "left").join(ends.select("partition", "next_offset"), "partition", "left")
-    before = F.coalesce(F.lag("next").over(w), F.col("_resume"))
-    code = (
-        F.when((F.col("epoch") != F.col("_epoch")) | ~F.col("member_id").eqNullSafe(F.col("_member")), int(Error.FENCED))
-        .when((F.col("expected") != before) | (F.col("next") <= F.col("expected")), int(Error.INVALID_SEQUENCE))
-        .when(F.col("next") > F.col("next_offset"), int(Error.BEYOND_END))
-    )
-    return joined.select(*updates.columns, code.alias("error_code"))
+    held = assignments.select(*key, F.col("epoch").alias("_epoch"), F.col("member_id").alias("_member"), F.coalesce("resume_cursor", F.lit(0)).cast("long").alias("_resume"))
+    joined = updates.join(held, key, "left").join(ends.select("partition", F.col("next_offset").alias("_end")), "partition", "left")
+    fenced = F.coalesce(F.col("epoch") != F.col("_epoch"), F.lit(True)) | ~F.col("member_id").eqNullSafe(F.col("_member"))
+
+    def step(cursor, fenced, expected, following, resume, end):
+        if fenced:
+            return cursor, (int(Error.FENCED),)
+        if expected != cursor or following <= cursor:
+            return cursor, (int(Error.INVALID_SEQUENCE),)
+        if end is not None and following > end:
+            return cursor, (int(Error.BEYOND_END),)
+        return following, (None,)
+
+    out = ordering.folded(joined.withColumn("_fenced", fenced), key, ["seq"], ["_fenced", "expected", "next", "_resume", "_end"], lambda fenced, expected, following, resume, end: resume or 0, step, "error_code int")
+    return out.select(*updates.columns, "error_code")
 
 
 def coalesced(updates: DataFrame) -> DataFrame:
@@ -107,6 +113,38 @@ def coalesced(updates: DataFrame) -> DataFrame:
     return updates.groupBy("group_id", "partition").agg(F.max("next").alias("next_offset"), F.count("*").alias("riders"))
 
 
+def proposals(cursors: DataFrame, most: int = 16) -> DataFrame:
+    """Adds ``proposal``: cursors of a partition's groups that are written together, at most so many."""
+    n = F.row_number().over(Window.partitionBy("partition").orderBy("group_id"))
+    return cursors.withColumn("proposal", F.floor((n - 1) / most).cast("long"))
+
+
+def deliverable(log: DataFrame, cursors: DataFrame, window: int) -> DataFrame:
+    """Records that may be in processing at once: of each group (``group_id, partition, cursor``)
+    the next ``window`` ones from its cursor on."""
+    return log.join(cursors, "partition").where((F.col("offset") >= F.col("cursor")) & (F.col("offset") < F.col("cursor") + window)).drop("cursor")
+
+
+def install_plans(groups: DataFrame, plans: DataFrame) -> DataFrame:
+    """Plans (``group_id, name, expected_revision, revision``) against the groups that are there
+    (``group_id, name, revision``): the revision expected must be the group's, 0 for a new one,
+    and a name belongs to one group."""
+    names = groups.select("name", F.col("group_id").alias("_owner"))
+    joined = plans.join(groups.select("group_id", F.col("name").alias("_name"), F.col("revision").alias("_revision")), "group_id", "left").join(names, "name", "left")
+    code = F.when(F.coalesce("_revision", F.lit(0)) != F.col("expected_revision"), int(Error.STALE_AUTHORITY)).when(
+        F.coalesce(F.col("_name") != F.col("name"), F.lit(False)) | F.coalesce(F.col("_owner") != F.col("group_id"), F.lit(False)), int(Error.MALFORMED)
+    )
+    return joined.select("group_id", "name", F.when(code.isNull(), F.col("revision")).otherwise(F.col("_revision")).alias("revision"), code.alias("error_code"))
+
+
+def delete_groups(groups: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (``group_id, revision``): a group goes at exactly the revision that was seen, and
+    its name is free; one that isn't there is refused."""
+    joined = requests.join(groups.select("group_id", "name", F.col("revision").alias("_revision")), "group_id", "left")
+    code = F.when(F.col("_revision").isNull(), int(Error.MALFORMED)).when(F.col("revision") != F.col("_revision"), int(Error.STALE_AUTHORITY))
+    return joined.select("group_id", F.when(code.isNull(), F.col("name")).alias("freed"), code.alias("error_code"))
+
+
 def start_of(groups: DataFrame, progress: DataFrame, starts: DataFrame) -> DataFrame:
     """Where each group reads a partition from: its progress, else the start chosen at creation."""
     return groups.join(progress, ["group_id", "partition"], "left").join(starts, "partition", "left").select("group_id", "partition", F.coalesce("next_offset", "start").alias("start"))

@@ -1,23 +1,29 @@
-"""Dense positions and running totals within large groups.
+"""Dense positions, running totals, predecessors and folds within large groups.
 
 A window over a whole log partition is one task for it, however large.  Here a partition
 is cut into blocks of the order column; totals of the blocks, a table smaller by the size
 of a block, carry over from one block to the next, and the windows run within blocks.
+
+Where the next state depends on the last, ``folded`` streams the rows of a key, sorted, past a
+state of constant size: nothing is gathered, however many rows a key has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 #: Values of the order column in a block.
 BLOCK = 1 << 20
 
 
-def _blocks(df: DataFrame, order: str, block: int) -> DataFrame:
+def _blocks(df: DataFrame, order: str, block: float) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order) / block).cast("long"))
 
 
@@ -45,7 +51,7 @@ def position(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], nam
     return _joined(blocked, carried, keys).withColumn(name, F.coalesce("_carried", F.lit(0)) + inside).drop("_block", "_carried")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, merge="sum", block: int = BLOCK) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, merge="sum", block: float = BLOCK) -> DataFrame:
     """Adds the running sum, maximum or minimum of ``value`` by ``order``, the row included."""
     fold = {"sum": F.sum, "max": F.max, "min": F.min}[merge]
     both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[merge]
@@ -55,7 +61,42 @@ def running(df: DataFrame, keys: Sequence[str], order: str, value: Column, name:
     return _joined(blocked, carried, keys).withColumn(name, both(F.col("_carried"), fold("_value").over(inside))).drop("_block", "_carried", "_value")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: str, starts: Column, name: str) -> DataFrame:
+def lagged(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], block: float = BLOCK) -> DataFrame:
+    """Adds for each column the value that the row before has, under a name of its own; null for
+    the first of a key."""
+    blocked = _blocks(df, order, block)
+    row = F.struct(*(F.col(c).alias(n) for c, n in columns.items()))
+    last = blocked.groupBy(*keys, "_block").agg(F.max_by(row, order).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
+    carried = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), before.alias("_carried"))
+    own = F.lag(row).over(Window.partitionBy(*keys, "_block").orderBy(order))
+    both = _joined(blocked, carried, keys).withColumn("_before", F.coalesce(own, F.col("_carried")))
+    return both.withColumns({n: F.col("_before").getField(n) for n in columns.values()}).drop("_block", "_carried", "_before")
+
+
+def islands(df: DataFrame, keys: Sequence[str], order: str, starts: Column, name: str, block: float = BLOCK) -> DataFrame:
     """Adds the number of rows so far, by ``order`` within ``keys``, for which ``starts`` holds."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_starts", starts.cast("int")).withColumn(name, F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
+    return running(df, keys, order, starts.cast("long"), name, "sum", block)
+
+
+def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable, step: Callable, added: str) -> DataFrame:
+    """Adds the columns ``added`` (a schema), which ``step(state, *values)`` gives with the next
+    state for every row of a key in order; ``start(*values)`` gives the state before the first.
+    ``values`` are those of ``columns``.  The state must not grow with the rows."""
+    extra = T.StructType.fromDDL(added)
+    schema = T.StructType([*df.schema.fields, *extra.fields])
+    n, types = len(keys), to_arrow_schema(extra).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in [*keys, *columns]), strict=True):
+                if row[:n] != key:
+                    key, state = row[:n], start(*row[n:])
+                state, values = step(state, *row[n:])
+                out.append(values)
+            new = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *extra.names])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.operators import ordering
 from tidewater.schemas import Error
@@ -77,11 +76,12 @@ def checkpoint(delivered: DataFrame) -> DataFrame:
 def bounded(log: DataFrame, records: int, size: int) -> DataFrame:
     """From each partition whole records, in order, while neither bound is passed
     (``bytes`` holds a record's size); ``error_code`` 17 where the first alone is too large."""
-    placed = ordering.position(log, ["partition"], "offset", "_at")
-    summed = ordering.running(placed, ["partition"], "offset", F.col("bytes").cast("long"), "_sum")
-    fits = (F.col("_at") < records) & (F.col("_sum") <= size)
-    first = (F.col("_at") == 0) & (F.col("bytes") > size)
-    return summed.where(fits | first).withColumn("error_code", F.when(first, int(Error.RECORD_TOO_LARGE))).drop("_at", "_sum")
+    first = log.groupBy("partition").agg(F.min("offset").alias("_first"))
+    # offsets are dense: what is past the first bound needs no sum
+    near = log.join(first, "partition").where(F.col("offset") < F.col("_first") + records)
+    summed = ordering.running(near, ["partition"], "offset", F.col("bytes").cast("long"), "_sum")
+    alone = (F.col("offset") == F.col("_first")) & (F.col("bytes") > size)
+    return summed.where((F.col("_sum") <= size) | alone).withColumn("error_code", F.when(alone, int(Error.RECORD_TOO_LARGE))).drop("_first", "_sum")
 
 
 def merge_live(live: DataFrame, replayed: DataFrame, starts: DataFrame) -> DataFrame:
@@ -96,6 +96,6 @@ def merge_live(live: DataFrame, replayed: DataFrame, starts: DataFrame) -> DataF
 
 def delivery_stats(delivered: DataFrame) -> DataFrame:
     """Per partition how many records came live and by replay, and how many gaps they left."""
-    w = Window.partitionBy("partition").orderBy("offset")
-    gap = (F.col("offset") - F.lag("offset").over(w) > 1).cast("int")
-    return delivered.withColumn("_gap", F.coalesce(gap, F.lit(0))).groupBy("partition").agg(F.count_if(F.col("source") == "live").alias("live"), F.count_if(F.col("source") == "replay").alias("replayed"), F.sum("_gap").alias("gaps"))
+    gap = F.coalesce(F.col("offset") - F.col("_before") > 1, F.lit(False)).cast("int")
+    marked = ordering.lagged(delivered, ["partition"], "offset", {"offset": "_before"}).withColumn("_gap", gap)
+    return marked.groupBy("partition").agg(F.count_if(F.col("source") == "live").alias("live"), F.count_if(F.col("source") == "replay").alias("replayed"), F.sum("_gap").alias("gaps"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.functions import telemetry
+from tidewater.operators import ordering
 from tidewater.schemas import Error
 
 
@@ -54,6 +56,37 @@ def plan(segments: DataFrame, policies: DataFrame, now_ms: int | None) -> DataFr
     )
 
 
+def rolled(log: DataFrame, capacity: int) -> DataFrame:
+    """Adds ``segment``: records (of ``bytes``) go into a segment while they fit; a larger one has a
+    segment of its own."""
+
+    def step(state, size):
+        number, used = state
+        if used and used + size > capacity:
+            number, used = number + 1, 0
+        return (number, used + size), (number,)
+
+    return ordering.folded(log, ["partition"], ["offset"], ["bytes"], lambda size: (0, 0), step, "segment long")
+
+
+def turn(log: DataFrame, segments: DataFrame, policies: DataFrame, now_ms: int | None) -> DataFrame:
+    """The log after one turn of retention: without the records of the segments that are retired."""
+    floors = plan(segments, policies, now_ms).select("partition", "record_floor")
+    return log.join(floors, "partition", "left").where(F.col("offset") >= F.coalesce("record_floor", F.lit(0))).drop("record_floor")
+
+
+def snapshot_digest(state: DataFrame, columns: list[str]) -> DataFrame:
+    """One row that a snapshot is stored with: how many rows it has, and their digest."""
+    return state.agg(F.count("*").alias("rows"), telemetry.digest(*columns).alias("digest"))
+
+
+def verified(snapshot: DataFrame, columns: list[str], stored: DataFrame) -> DataFrame:
+    """A snapshot that was read back, if count and digest are as stored, else an error."""
+    if snapshot_digest(snapshot, columns).first() != stored.first():
+        raise ValueError("the snapshot isn't what was stored")
+    return snapshot
+
+
 def trim(partitions: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (``partition, expected_record_floor, expected_operation_floor, record_floor,
     operation_floor``): both floors must be as expected, one advances, none goes back or past
@@ -62,7 +95,7 @@ def trim(partitions: DataFrame, requests: DataFrame) -> DataFrame:
     fits = (F.col("retained_from") == F.col("expected_record_floor")) & (F.col("retained_operation") == F.col("expected_operation_floor"))
     forward = (F.col("record_floor") >= F.col("retained_from")) & (F.col("operation_floor") >= F.col("retained_operation")) & ((F.col("record_floor") > F.col("retained_from")) | (F.col("operation_floor") > F.col("retained_operation")))
     code = F.when(~fits, int(Error.STALE_AUTHORITY)).when(~forward | (F.col("record_floor") > F.col("result_floor")), int(Error.INVALID_SEQUENCE))
-    return joined.select("partition", F.when(code.isNull(), F.col("record_floor")).otherwise(F.col("retained_from")).alias("retained_from"), code.alias("error_code"))
+    return joined.select("partition", F.when(code.isNull(), F.col("record_floor")).otherwise(F.col("retained_from")).alias("retained_from"), F.when(code.isNull(), F.col("operation_floor")).otherwise(F.col("retained_operation")).alias("retained_operation"), code.alias("error_code"))
 
 
 def best_run(segments: DataFrame, capacity: int, header: int = 0) -> DataFrame:

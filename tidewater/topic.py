@@ -1,24 +1,29 @@
 """A topic as one object: send, read, checkpoint.
 
 Records and receipts are Parquet tables under one folder, by partition.  A send is one batch:
-records are routed, checked against earlier receipts (a repeated attempt gets its first
-receipt again, one with other content is refused), deduplicated if the topic wants it,
-given offsets and stored, then their receipts.  One writer at a time appends.
+records are routed, checked against each other and earlier receipts (a repeated attempt gets
+its first receipt again, one with other content is refused), checked for their sequence,
+deduplicated if the topic wants it, given offsets and stored, then their receipts.  A writer
+that stops in between leaves records without receipts: the next send answers for them from
+the records.  One writer at a time appends.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import append, dedup, reading, routing
-from tidewater.schemas import RECORDS
+from tidewater.schemas import RECORDS, Error
 
 RECEIPT_COLUMNS = "partition int, producer_id string, producer_epoch bigint, sequence bigint, message_id string, disposition string, offset bigint, fingerprint string"
+RETRY = ["partition", "producer_id", "producer_epoch", "sequence"]
 #: Stands before every arrival of a batch: what was stored earlier came first.
-_EARLIER = 1 << 60
+_EARLIER = dedup.EARLIER
 
 
 @dataclass
@@ -49,27 +54,52 @@ class Topic:
         known = self.records().groupBy("partition").agg((F.max("offset") + 1).alias("_end"))
         return every.join(known, "partition", "left").select("partition", F.lit(0).cast("long").alias("retained_from"), F.coalesce("_end", F.lit(0)).cast("long").alias("next_offset"))
 
+    def _known(self) -> DataFrame:
+        """What has been answered, and what has been stored without an answer: records past all
+        offsets that receipts name."""
+        receipts = self.receipts().select(*RETRY, "offset", "fingerprint")
+        answered = receipts.groupBy("partition").agg(F.max("offset").alias("_answered"))
+        beyond = self.records().join(answered, "partition", "left").where(F.col("offset") > F.coalesce("_answered", F.lit(-1)))
+        return receipts.unionByName(beyond.select(*RETRY, "offset", append.fingerprint(F.col("message_id"), F.col("parts")).alias("fingerprint")))
+
     def send(self, attempts: DataFrame) -> DataFrame:
         """Receipts of ``attempts`` (arrival_seq, partition or null, key, message_id, producer_id,
         producer_epoch, sequence, parts, append_ms); ``error_code`` where one was refused."""
+        batch = f"{self.path}/batches/{uuid.uuid4().hex}"
+
+        def stored_as(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{batch}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{batch}/{name}")
+
         routed = attempts.withColumn("partition", F.coalesce("partition", routing.keyed_partition(F.col("key"), self.seed, self.partitions)))
-        marked = routed.withColumn("fingerprint", append.fingerprint(F.col("message_id"), F.col("parts")))
+        marked = stored_as(routed.withColumn("fingerprint", append.fingerprint(F.col("message_id"), F.col("parts"))), "attempts")
+        # an attempt that comes twice in the batch: the first speaks for all
+        first = marked.groupBy(*RETRY).agg(F.min("arrival_seq").alias("_first"))
+        once = marked.join(first, RETRY).where("arrival_seq = _first").drop("_first")
+        again = marked.join(first, RETRY).where("arrival_seq <> _first").drop("_first")
         none = self.spark.createDataFrame([], "partition int, producer_id string, result_floor long")
-        resolved = append.resolve_retries(marked, self.receipts().select("partition", "producer_id", "producer_epoch", "sequence", "offset", "fingerprint"), none)
-        batch = f"{self.path}/batches/{self.receipts().count()}-{attempts.count()}"
-        resolved.write.mode("overwrite").parquet(f"{batch}/resolved")
-        resolved = self.spark.read.parquet(f"{batch}/resolved")
+        known = stored_as(self._known(), "known")
+        resolved = stored_as(append.resolve_retries(once, known, none), "resolved")
+        sessions = known.groupBy("partition", "producer_id").agg(F.max(F.struct("producer_epoch", F.col("sequence") + 1)).alias("s")).select("partition", "producer_id", F.col("s.producer_epoch").alias("epoch"), F.col("s.col2").alias("next_sequence"))
         fresh = resolved.where("disposition = 'fresh'").drop("disposition", "offset", "error_code")
-        placed = self._placed(fresh)
-        placed.write.mode("overwrite").parquet(f"{batch}/placed")
-        placed = self.spark.read.parquet(f"{batch}/placed")
+        checked = stored_as(append.validate(fresh, sessions, opens=True), "checked")
+        placed = stored_as(self._placed(checked.where("error_code is null").drop("error_code")), "placed")
         stored = placed.where("disposition = 'stored'").withColumn("topic", F.lit(self.path))
         columns = [c.strip().split(" ")[0] for c in RECORDS.split(",")]
         stored.select(*columns).sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(f"{self.path}/records")
         own = [c.strip().split(" ")[0] for c in RECEIPT_COLUMNS.split(",")]
         placed.select(*own).write.mode("append").partitionBy("partition").parquet(f"{self.path}/receipts")
-        answered = resolved.where("disposition is null or disposition = 'retry'")
-        return placed.withColumn("error_code", F.lit(None).cast("int")).select(*own, "error_code").unionByName(answered.select(*own, "error_code"))
+        refused = checked.where("error_code is not null").withColumns({"disposition": F.lit(None).cast("string"), "offset": F.lit(None).cast("long")})
+        answers = placed.withColumn("error_code", F.lit(None).cast("int")).select(*own, "error_code").unionByName(refused.select(*own, "error_code")).unionByName(resolved.where("disposition is null or disposition = 'retry'").select(*own, "error_code"))
+        told = answers.select(*RETRY, F.col("disposition").alias("_told"), F.col("offset").alias("_at"), F.col("fingerprint").alias("_of"), F.col("error_code").alias("_code"))
+        same = F.col("fingerprint") == F.col("_of")
+        repeats = again.join(told, RETRY).select(
+            *(c for c in own if c not in ("disposition", "offset")),
+            F.when(same & F.col("_code").isNull(), "retry").alias("disposition"),
+            F.when(same, F.col("_at")).alias("offset"),
+            F.when(same, F.col("_code")).otherwise(int(Error.RETRY_CONFLICT)).alias("error_code"),
+        )
+        return answers.unionByName(repeats)
 
     def _placed(self, fresh: DataFrame) -> DataFrame:
         ends = self.ends().select("partition", "next_offset")
@@ -103,6 +133,14 @@ class Topic:
             starts = reading.start_earliest(ends) if at_ms is None else reading.start_timestamp(log, ends, at_ms)
         return reading.replay(log, starts)
 
+    def in_order(self, **start) -> Iterator[Row]:
+        """Records as ``read`` gives them, partition by partition in order of offset, one at a time."""
+        return self.read(**start).orderBy("partition", "offset").toLocalIterator()
+
+    def statistics(self) -> DataFrame:
+        """Per partition what receipts say: records by disposition, and the last offset."""
+        return append.writer_stats(self.receipts().withColumn("error_code", F.lit(None).cast("int")))
+
     def checkpoint(self, delivered: DataFrame) -> DataFrame:
         """Where to go on after ``delivered``; partitions without deliveries stay at the floor."""
         after = reading.checkpoint(delivered).withColumnRenamed("next_offset", "_next")
