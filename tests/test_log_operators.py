@@ -265,3 +265,71 @@ def test_sources_and_sinks(spark, tmp_path):
     ledger = tmp_path / "ledger.jsonl"
     ledger.write_text('{"kind":"measurement","run_id":"1","value":2.0}\n{"kind":"run-complete","run_id":"1"}\n{"kind":"measurement","run_id":"2","value":3.0}\n')
     assert [r.value for r in telemetry.complete_runs(topics.read_ledger(spark, f"file://{ledger}")).collect()] == [2.0]
+
+
+def test_refusals_change_nothing(spark):
+    """0, 1, 5, 2, 3: the gap is refused and the rest go on; a fenced update leaves the cursor."""
+    schema = "partition int, producer_id string, arrival_seq long, producer_epoch long, sequence long, message_id string, parts array<binary>"
+    a = spark.createDataFrame([(0, "p", k, e, s, m, [b"x"]) for k, (e, s, m) in enumerate([(1, 0, "a"), (1, 1, "b"), (1, 5, "c"), (1, 2, "d"), (1, 3, None), (1, 3, "e"), (2, 0, "f"), (1, 4, "g"), (2, 1, "h")])], schema)
+    codes = lambda df: [r.error_code for r in df.orderBy("arrival_seq").collect()]
+    assert codes(append.validate(a)) == [None, None, 7, None, 1, None, None, 6, None]
+    there = spark.createDataFrame([(0, "p", 1, 1)], "partition int, producer_id string, epoch long, next_sequence long")
+    assert codes(append.validate(a, there)) == [7, None, 7, None, 1, None, 6, None, 6]
+    held = spark.createDataFrame([("g", 0, 2, "m", 0)], "group_id string, partition int, epoch int, member_id string, resume_cursor long")
+    updates = spark.createDataFrame([("g", 0, k, e, "m", x, n) for k, (e, x, n) in enumerate([(2, 0, 3), (1, 3, 5), (2, 3, 4), (2, 9, 10), (2, 4, 99), (2, 4, 4), (2, 4, 8)])], "group_id string, partition int, seq long, epoch int, member_id string, expected long, next long")
+    ends = spark.createDataFrame([(0, 0, 10)], "partition int, retained_from long, next_offset long")
+    assert [r.error_code for r in groups.progress_errors(updates, held, ends).orderBy("seq").collect()] == [None, 6, None, 7, 16, 7, None]
+
+
+def test_dedup_of_an_identity_that_never_pauses(spark):
+    """A beat every millisecond, one message id for nearly all rows, over many blocks of time."""
+    n, window = 200_000, 40
+    a = spark.range(n).select(F.col("id").alias("arrival_seq"), F.lit(0).alias("partition"), F.when(F.col("id") % 50 == 7, F.col("id").cast("string")).otherwise("beat").alias("message_id"), (F.col("id") - F.col("id") % 3).alias("append_ms"))
+    rows = dedup.classify(a, window, 1 << 14).where("message_id = 'beat' and disposition = 'stored'").select("arrival_seq", "time").orderBy("arrival_seq").collect()
+    want, kept = [], None
+    for i in range(n):
+        t = i - i % 3
+        if i % 50 != 7 and (kept is None or t - kept >= window):
+            kept = t
+            want.append(i)
+    assert [r.arrival_seq for r in rows] == want
+
+
+def test_admission_and_capacity_against_plain_models(spark):
+    rng = random.Random(9)
+    requests = [(0, k, 3 * k + rng.randrange(2), [str(rng.randrange(12)) for _ in range(rng.randrange(1, 4))]) for k in range(150)]
+    got = [r.error_code for r in dedup.admitted(spark.createDataFrame(requests, "partition int, request long, time long, message_ids array<string>"), 20, 6).orderBy("request").collect()]
+    live, now, want = {}, 0, []
+    for _, _, t, ids in requests:
+        at = max(now, t)
+        left = {i: s for i, s in live.items() if at - s < 20}
+        fresh = {i for i in ids if i not in left}
+        if len(left) + len(fresh) > 6:
+            want.append(Error.CAPACITY)
+            continue
+        live, now = left | {i: at for i in fresh}, at
+        want.append(None)
+    assert got == want and None in want and Error.CAPACITY in want
+    attempts_ = [(0, k, 10 * k, 10 * k + rng.randrange(-20, 120)) for k in range(150)]
+    got = [r.error_code for r in delay.schedule_within(spark.createDataFrame(attempts_, "partition int, arrival_seq long, append_ms long, due_ms long"), 90, 3).orderBy("arrival_seq").collect()]
+    held, want = [], []
+    for _, _, append_ms, due in attempts_:
+        if due > append_ms + 90:
+            want.append(Error.DUE_TOO_LATE)
+            continue
+        held = [h for h in held if h > append_ms]
+        if len(held) >= 3:
+            want.append(Error.CAPACITY)
+            continue
+        held.append(max(due, append_ms))
+        want.append(None)
+    assert got == want and set(want) == {None, Error.CAPACITY, Error.DUE_TOO_LATE}
+
+
+def test_snapshots_are_verified(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, op long")
+    stored = retention.snapshot_digest(rows, ["k", "op"])
+    assert retention.verified(rows, ["k", "op"], stored).count() == 3
+    for other in (rows.distinct(), rows.union(rows.limit(2)), rows.withColumn("op", F.col("op") + 1)):
+        with pytest.raises(ValueError, match="stored"):
+            retention.verified(other, ["k", "op"], stored)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.operators import ordering
 from tidewater.schemas import Error
@@ -44,10 +46,12 @@ def anchors(attempts: DataFrame, window_ms: int) -> DataFrame:
     moments = blocked.groupBy(*key, "_block", "time").agg(F.min("arrival_seq").alias("first"))
     types = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
     named = f"partition {types['partition']}, message_id {types['message_id']}, _block long"
+    between, over = f"{named}, enters long, exits long, first long", f"{named}, _time long, _anchor long"
+    arrow = lambda ddl: to_arrow_schema(T.StructType.fromDDL(ddl))
     several = moments.groupBy(*key).agg((F.min("_block") < F.max("_block")).alias("_several")).where("_several").select(*key)
     dealt = moments.join(several, key, "left_semi").repartition(*key, "_block").sortWithinPartitions(*key, "_block", "time")
-    entries = dealt.mapInArrow(_entries(window_ms, span), f"{named}, enters long, exits long, first long")
-    carried = entries.repartition(*key).sortWithinPartitions(*key, "_block", "enters").mapInArrow(_carried(window_ms), f"{named}, _time long, _anchor long")
+    entries = dealt.mapInArrow(_entries(window_ms, span, arrow(between)), between)
+    carried = entries.repartition(*key).sortWithinPartitions(*key, "_block", "enters").mapInArrow(_carried(window_ms, arrow(over)), over)
     joined = blocked.join(carried, [*key, "_block"], "left")
 
     def step(state, time, arrival, entered, anchor):
@@ -66,11 +70,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, [r[keys:] for r in own]
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _entries(window_ms: int, span: int):
+def _entries(window_ms: int, span: int, schema: pa.Schema):
     """For each moment that an anchor from before may let through first: where the block ends up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +86,12 @@ def _entries(window_ms: int, span: int):
                 last[i] = last[after[i]] if after[i] < len(rows) else i
             first = int(np.searchsorted(times, block * span + window_ms))
             out = [(partition, identity, block, rows[i][0], *rows[last[i]]) for i in range(min(first + 1, len(rows)))]
-            yield _batch(out, ["partition", "message_id", "_block", "enters", "exits", "first"])
+            yield _batch(out, schema)
 
     return run
 
 
-def _carried(window_ms: int):
+def _carried(window_ms: int, schema: pa.Schema):
     """The anchor that enters each block, block after block of an identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +100,7 @@ def _carried(window_ms: int):
             if own != identity:
                 identity, anchor = own, None
             if anchor is not None:
-                yield _batch([(*own, block, *anchor)], ["partition", "message_id", "_block", "_time", "_anchor"])
+                yield _batch([(*own, block, *anchor)], schema)
             at = 0 if anchor is None else bisect_left(rows, anchor[0] + window_ms, key=lambda r: r[0])
             if at < len(rows):
                 anchor = rows[at][1:]

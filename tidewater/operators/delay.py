@@ -45,8 +45,8 @@ def schedule_within(attempts: DataFrame, max_delay_ms: int, max_held: int) -> Da
 
 def due_prefix(held: DataFrame, now_ms: int, most: int) -> DataFrame:
     """What one step releases: of each partition the first ``most`` due records in order of release key."""
-    due = ordering.position(held.where(F.col("release_ms") <= now_ms), ["partition"], ["release_ms", "schedule"], "at", HOUR)
-    return due.where(F.col("at") < most)
+    due = ordering.position(held.where(F.col("release_ms") <= now_ms), ["partition"], ["release_ms", "schedule"], "place", HOUR)
+    return due.where(F.col("place") < most)
 
 
 def release(held: DataFrame, now_ms: int, next_offsets: DataFrame | None = None) -> DataFrame:

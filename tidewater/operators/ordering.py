@@ -70,8 +70,8 @@ def lagged(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, st
     before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
     carried = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_block").alias("_b"), before.alias("_carried"))
     own = F.lag(row).over(Window.partitionBy(*keys, "_block").orderBy(order))
-    both = _joined(blocked, carried, keys).withColumn("_before", F.coalesce(own, F.col("_carried")))
-    return both.withColumns({n: F.col("_before").getField(n) for n in columns.values()}).drop("_block", "_carried", "_before")
+    both = _joined(blocked, carried, keys).withColumn("_row_before", F.coalesce(own, F.col("_carried")))
+    return both.withColumns({n: F.col("_row_before").getField(n) for n in columns.values()}).drop("_block", "_carried", "_row_before")
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, starts: Column, name: str, block: float = BLOCK) -> DataFrame:

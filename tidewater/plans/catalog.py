@@ -152,13 +152,76 @@ def assign_offsets(spark, d):
 
 
 @query(
-    'WITH q AS (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM lineitem) '
-    'SELECT l_orderkey AS producer_id, CAST(l_linenumber AS BIGINT) AS "sequence", CASE WHEN l_linenumber - 1 <> coalesce(before, 0) THEN 7 END AS error_code FROM q'
+    "WITH RECURSIVE n AS (SELECT user_id AS k, event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, CAST(floor(value) AS BIGINT) % 3 AS sq, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id // 100 END AS ep, event_id % 13 = 0 AS bad FROM events), "
+    "c AS (SELECT k, line, rn, CAST(NULL AS INTEGER) AS error_code, CAST(-1 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS nxt FROM (SELECT DISTINCT k, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS rn FROM n) UNION ALL "
+    "SELECT n.k, n.line, n.rn, CASE WHEN n.bad THEN 1 WHEN n.ep < c.cur THEN 6 WHEN n.sq <> CASE WHEN n.ep > c.cur THEN 0 ELSE c.nxt END THEN 7 END, CASE WHEN n.bad THEN c.cur ELSE greatest(c.cur, n.ep) END, "
+    "CASE WHEN n.bad OR n.ep < c.cur THEN c.nxt WHEN n.ep > c.cur THEN CASE WHEN n.sq = 0 THEN 1 ELSE 0 END WHEN n.sq = c.nxt THEN c.nxt + 1 ELSE c.nxt END FROM c JOIN n ON n.k = c.k AND n.rn = c.rn + 1) "
+    "SELECT k AS producer_id, line AS arrival, error_code FROM c WHERE rn > 0"
 )
 def validate_attempts(spark, d):
-    a = topics.line_attempts(spark, d).withColumns({"producer_epoch": F.lit(1), "parts": F.array(F.lit("x").cast("binary")), "sequence": F.col("sequence") - 1})
-    out = append.validate(a)
-    return out.select("producer_id", (F.col("sequence") + 1).alias("sequence"), "error_code")
+    """Sequences and epochs that go astray: what is refused changes nothing."""
+    e = _attempts(spark, d)
+    i = F.col("arrival_seq")
+    a = e.select(
+        "partition",
+        "producer_id",
+        "arrival_seq",
+        F.when(i % 11 == 0, 0).otherwise(F.floor(i / 100)).cast("long").alias("producer_epoch"),
+        (F.floor("value").cast("long") % 3).alias("sequence"),
+        F.when(i % 13 != 0, F.col("message_id")).alias("message_id"),
+        F.array(F.lit("x").cast("binary")).alias("parts"),
+    )
+    return append.validate(a).select("producer_id", F.col("arrival_seq").alias("arrival"), "error_code")
+
+
+@query(
+    "WITH p AS (SELECT c_custkey AS producer_id, CAST(c_nationkey % 4 AS BIGINT) AS floor, CAST(c_nationkey AS BIGINT) AS nxt FROM customer) "
+    "SELECT producer_id, CASE WHEN producer_id % 7 = 0 THEN 6 WHEN producer_id % 5 = 0 OR nxt // 2 <= floor THEN 7 END AS error_code, CASE WHEN producer_id % 7 = 0 OR producer_id % 5 = 0 OR nxt // 2 <= floor THEN floor ELSE nxt // 2 END AS result_floor FROM p"
+)
+def floor_advances(spark, d):
+    """Floors go to half of what was sent; some requests name another epoch or floor."""
+    p = topics.table(spark, d, "customer").select(F.lit(0).alias("partition"), F.col("c_custkey").alias("producer_id"), F.lit(3).alias("epoch"), (F.col("c_nationkey") % 4).cast("long").alias("result_floor"), F.col("c_nationkey").cast("long").alias("next_sequence"))
+    i = F.col("producer_id")
+    ask = p.select("partition", "producer_id", F.when(i % 7 == 0, 2).otherwise(3).alias("epoch"), (F.col("result_floor") + F.when(i % 5 == 0, 1).otherwise(0)).alias("expected_floor"), F.floor(F.col("next_sequence") / 2).alias("new_floor"))
+    return append.advance_floors(ask, p).select("producer_id", "error_code", "result_floor")
+
+
+@query(
+    "WITH q AS (SELECT c_custkey AS producer_id, c_custkey % 3 AS mode, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 WHEN c_custkey % 3 = 1 THEN c_nationkey END AS expected, CASE WHEN c_custkey % 4 < 2 THEN c_nationkey END AS live, c_nationkey % 4 AS pt FROM customer), "
+    "f AS (SELECT c_nationkey % 4 AS pt, max(c_nationkey) FILTER (c_custkey % 4 >= 2) AS gone FROM customer GROUP BY 1), "
+    "r AS (SELECT q.*, f.gone, CASE WHEN mode = 1 AND expected IS NULL OR mode = 2 AND expected IS NOT NULL THEN 1 WHEN expected IS NOT NULL AND expected IS DISTINCT FROM live OR mode = 2 AND live IS NOT NULL THEN 6 END AS error_code FROM q LEFT JOIN f USING (pt)) "
+    "SELECT producer_id, error_code, CASE WHEN error_code IS NULL THEN CASE WHEN mode = 0 AND live IS NOT NULL THEN live ELSE greatest(coalesce(live, 0), coalesce(gone, 0)) + 1 END END AS epoch FROM r"
+)
+def producer_modes(spark, d):
+    """Half of the customers have a session; the others' were retired at the number of their nation."""
+    c = topics.table(spark, d, "customer").select((F.col("c_nationkey") % 4).alias("partition"), F.col("c_custkey").alias("producer_id"), F.col("c_nationkey").alias("epoch"))
+    i = F.col("producer_id")
+    ask = c.select("partition", "producer_id", (i % 3).alias("mode"), F.when(i % 5 == 0, F.col("epoch") + 1).when(i % 3 == 1, F.col("epoch")).alias("expected_epoch"))
+    live = c.where("producer_id % 4 < 2").withColumn("next_sequence", F.lit(9))
+    return append.open_by_mode(ask, live, c.where("producer_id % 4 >= 2").select("partition", "epoch")).select("producer_id", "error_code", "epoch")
+
+
+@query(
+    f"WITH RECURSIVE {L}, n AS (SELECT \"partition\", arrival_seq, \"offset\" + 1 AS rn, octet_length(encode(props)) * (1 + arrival_seq % 9) AS bytes FROM l), "
+    'c AS (SELECT DISTINCT "partition", CAST(-1 AS BIGINT) AS arrival_seq, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS t FROM n UNION ALL '
+    "SELECT n.\"partition\", n.arrival_seq, n.rn, CASE WHEN c.k > 0 AND (c.k = 7 OR c.t + n.bytes > 200) THEN c.batch + 1 ELSE c.batch END, CASE WHEN c.k > 0 AND (c.k = 7 OR c.t + n.bytes > 200) THEN 1 ELSE c.k + 1 END, "
+    'CASE WHEN c.k > 0 AND (c.k = 7 OR c.t + n.bytes > 200) THEN n.bytes ELSE c.t + n.bytes END FROM c JOIN n ON n."partition" = c."partition" AND n.rn = c.rn + 1) SELECT "partition", arrival_seq, batch FROM c WHERE rn > 0'
+)
+def writer_batches(spark, d):
+    a = _attempts(spark, d).withColumn("bytes", F.octet_length("props") * (1 + F.col("arrival_seq") % 9))
+    return append.batches(a, 7, 200).select("partition", "arrival_seq", "batch")
+
+
+@query(f"WITH {D} SELECT \"partition\", count(*) FILTER (disposition = 'stored') AS stored, count(*) FILTER (disposition = 'duplicate') AS duplicate, CAST(0 AS BIGINT) AS retry, CAST(0 AS BIGINT) AS refused, max(\"offset\") AS last_offset FROM o GROUP BY 1")
+def writer_stats(spark, d):
+    return append.writer_stats(_dedup(spark, d).withColumn("error_code", F.lit(None).cast("int")))
+
+
+@query("WITH s AS (SELECT conv_id, turn, octet_length(encode(text)) AS n FROM conversations), w AS (SELECT conv_id, count(*) AS k, sum(n) AS t FROM s GROUP BY 1) SELECT conv_id, turn, CASE WHEN n > 2000 THEN 17 WHEN k > 8 OR t > 6000 THEN 1 END AS error_code FROM s JOIN w USING (conv_id)")
+def request_limits(spark, d):
+    """Conversations as requests, their turns as records."""
+    c = topics.table(spark, d, "conversations").select("conv_id", "turn", F.array(F.col("text").cast("binary")).alias("parts"))
+    return append.within_limits(c, {"record_bytes": 2000, "parts": 4000, "records": 8, "payload_bytes": 6000}, "conv_id").select("conv_id", "turn", "error_code")
 
 
 @query("SELECT page_id, CASE WHEN octet_length(encode(html)) + octet_length(encode(url)) > 4096 THEN 17 END AS error_code FROM pages")
@@ -196,9 +259,9 @@ def result_spans(spark, d):
     return _spans(spark, d)
 
 
-@query(_SPANS + ', w AS (SELECT "partition", producer_id, "sequence" FROM r WHERE "sequence" % 3 = 0) SELECT w.*, sp.source, sp.first_offset + w."sequence" - sp.first_sequence AS "offset" FROM w JOIN sp ON w."partition" = sp."partition" AND w.producer_id = sp.producer_id AND w."sequence" >= sp.first_sequence AND w."sequence" < sp.first_sequence + sp.records')
+@query(_SPANS + ', w AS (SELECT "partition", producer_id, "sequence" FROM r) SELECT w.*, sp.source, sp.first_offset + w."sequence" - sp.first_sequence AS "offset" FROM w JOIN sp ON w."partition" = sp."partition" AND w.producer_id = sp.producer_id AND w."sequence" >= sp.first_sequence AND w."sequence" < sp.first_sequence + sp.records')
 def span_lookup(spark, d):
-    wanted = ordering.position(_log(spark, d), ["producer_id"], "arrival_seq", "sequence").select("partition", "producer_id", "sequence").where("sequence % 3 = 0")
+    wanted = ordering.position(_log(spark, d), ["producer_id"], "arrival_seq", "sequence").select("partition", "producer_id", "sequence")
     return append.lookup(_spans(spark, d), wanted)
 
 
@@ -434,9 +497,9 @@ def replay_from_checkpoint(spark, d):
     return _delivered(reading.replay(log, reading.start_checkpoint(reading.ends_of(log), mark)))
 
 
-@query(f'WITH {L} SELECT "partition", max("offset") + 1 AS next_offset FROM l WHERE arrival_seq < 5000 GROUP BY 1')
+@query(f'WITH {L} SELECT "partition", max("offset") + 1 AS next_offset FROM l GROUP BY 1')
 def reader_checkpoint(spark, d):
-    return reading.checkpoint(_log(spark, d).where("arrival_seq < 5000"))
+    return reading.checkpoint(_log(spark, d))
 
 
 @query(f'WITH {L} {_OUT} FROM l WHERE "partition" IN (1, 3)')
@@ -517,22 +580,25 @@ def expired_cursors(spark, d):
     return groups.expired_cursors(_progress(spark, d), reading.ends_of(_log(spark, d), 300))
 
 
-_UPD = f"WITH {E}, u AS (SELECT event_type AS group_id, \"partition\", arrival_seq AS seq, \"offset\" AS expected, lead(\"offset\") OVER (PARTITION BY event_type, \"partition\" ORDER BY arrival_seq) AS nxt, CASE WHEN arrival_seq % 50 = 0 THEN 1 ELSE 2 END AS epoch FROM l), "
+_UPD = f"WITH {E}, u AS (SELECT event_type AS group_id, \"partition\", arrival_seq AS seq, coalesce(CASE WHEN lag(arrival_seq) OVER w % 50 = 0 THEN lag(\"offset\", 2) OVER w ELSE lag(\"offset\") OVER w END, 0) AS expected, \"offset\" AS nxt, CASE WHEN arrival_seq % 50 = 0 THEN 1 ELSE 2 END AS epoch FROM l WINDOW w AS (PARTITION BY event_type, \"partition\" ORDER BY arrival_seq)), "
 
 
 def _updates(spark, d):
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("event_type", "partition").orderBy("arrival_seq")
-    u = _log(spark, d).select(F.col("event_type").alias("group_id"), "partition", F.col("arrival_seq").alias("seq"), F.when(F.col("arrival_seq") % 50 == 0, 1).otherwise(2).alias("epoch"), F.lit("m").alias("member_id"), F.col("offset").alias("expected"), F.lead("offset").over(w).alias("next"))
-    return u.where("next is not null")
+    before = F.when(F.lag("arrival_seq").over(w) % 50 == 0, F.lag("offset", 2).over(w)).otherwise(F.lag("offset").over(w))  # a fenced update's place isn't expected
+    return _log(spark, d).select(F.col("event_type").alias("group_id"), "partition", F.col("arrival_seq").alias("seq"), F.when(F.col("arrival_seq") % 50 == 0, 1).otherwise(2).alias("epoch"), F.lit("m").alias("member_id"), F.coalesce(before, F.lit(0)).alias("expected"), F.col("offset").alias("next"))
 
 
 @query(
-    _UPD + 'v AS (SELECT *, lag(nxt) OVER (PARTITION BY group_id, "partition" ORDER BY seq) AS before FROM u WHERE nxt IS NOT NULL) '
-    "SELECT group_id, \"partition\", seq, CASE WHEN epoch <> 2 THEN 6 WHEN expected <> coalesce(before, 0) OR nxt <= expected THEN 7 END AS error_code FROM v"
+    _UPD.replace("WITH ", "WITH RECURSIVE ", 1) + 'v AS (SELECT *, row_number() OVER (PARTITION BY group_id, "partition" ORDER BY seq) AS rn FROM u WHERE nxt IS NOT NULL), '
+    'c AS (SELECT DISTINCT group_id, "partition", CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS cur, CAST(NULL AS INTEGER) AS error_code FROM v UNION ALL '
+    'SELECT v.group_id, v."partition", v.seq, v.rn, CASE WHEN v.epoch = 2 AND v.expected = c.cur AND v.nxt > c.cur THEN v.nxt ELSE c.cur END, CASE WHEN v.epoch <> 2 THEN 6 WHEN v.expected <> c.cur OR v.nxt <= c.cur THEN 7 END '
+    'FROM c JOIN v ON v.group_id = c.group_id AND v."partition" = c."partition" AND v.rn = c.rn + 1) SELECT group_id, "partition", seq, error_code FROM c WHERE rn > 0'
 )
 def progress_monotone(spark, d):
+    """Some owners expect what they were told, others start from where the log stood; fenced updates change nothing."""
     held = _targets(spark, d).withColumns({"epoch": F.lit(2), "member_id": F.lit("m"), "resume_cursor": F.lit(0)})
     return groups.progress_errors(_updates(spark, d), held, reading.ends_of(_log(spark, d))).select("group_id", "partition", "seq", "error_code")
 
@@ -628,7 +694,7 @@ def segment_violations(spark, d):
     return retention.invalid_segments(s).select("partition", "id")
 
 
-@query(f'WITH {E} SELECT "partition", CASE WHEN "partition" IN (0, 3) THEN CAST(100 + "partition" AS BIGINT) ELSE CAST(10 AS BIGINT) END AS retained_from, CASE "partition" WHEN 1 THEN 5 WHEN 2 THEN 7 END AS error_code FROM ends')
+@query(f'WITH {E} SELECT "partition", CASE WHEN "partition" IN (0, 3) THEN CAST(100 + "partition" AS BIGINT) ELSE CAST(10 AS BIGINT) END AS retained_from, CASE WHEN "partition" IN (0, 3) THEN CAST(12 + "partition" AS BIGINT) ELSE CAST(10 AS BIGINT) END AS retained_operation, CASE "partition" WHEN 1 THEN 5 WHEN 2 THEN 7 END AS error_code FROM ends')
 def trim_floor(spark, d):
     ends = reading.ends_of(_log(spark, d))
     have = ends.select("partition", F.lit(10).cast("long").alias("retained_from"), F.lit(10).cast("long").alias("retained_operation"), F.lit(500).cast("long").alias("result_floor"))
@@ -637,7 +703,7 @@ def trim_floor(spark, d):
         F.when(F.col("partition") == 1, 9).otherwise(10).cast("long").alias("expected_record_floor"),
         F.lit(10).cast("long").alias("expected_operation_floor"),
         F.when(F.col("partition") == 2, 900).otherwise(100 + F.col("partition")).cast("long").alias("record_floor"),
-        F.lit(10).cast("long").alias("operation_floor"),
+        (12 + F.col("partition")).cast("long").alias("operation_floor"),
     )
     return retention.trim(have, ask)
 
@@ -737,11 +803,11 @@ def labelled_counters(spark, d):
 
 
 @query(
-    f'WITH {L}, r AS (SELECT "partition", arrival_seq, append_ms, "offset", lag("offset") OVER w AS b, lag(append_ms) OVER w AS t FROM l WHERE "offset" % 10 = 0 WINDOW w AS (PARTITION BY "partition" ORDER BY append_ms)) '
+    f'WITH {L}, r AS (SELECT "partition", arrival_seq, append_ms, "offset", lag("offset") OVER w AS b, lag(append_ms) OVER w AS t FROM l WINDOW w AS (PARTITION BY "partition" ORDER BY append_ms, "offset")) '
     'SELECT "partition", "offset", CASE WHEN "offset" >= b AND append_ms > t THEN ("offset" - b) * 1000.0 / (append_ms - t) END AS rate FROM r'
 )
 def commit_rate(spark, d):
-    s = _log(spark, d).where("offset % 10 = 0").select("partition", "offset", F.col("append_ms").alias("uptime_ms"), F.col("offset").alias("value"))
+    s = _log(spark, d).select("partition", "offset", F.col("append_ms").alias("uptime_ms"), F.col("offset").alias("value"))
     return telemetry.rates(s, ["partition"]).select("partition", "offset", "rate")
 
 
@@ -769,8 +835,9 @@ def ramp_stages(spark, d):
     return telemetry.staged(r, stages)
 
 
-def _cases(spark, d, shift):
-    e = _attempts(spark, d).where(f"arrival_seq % 2 = {shift}")
+def _cases(spark, d, half=None):
+    e = _attempts(spark, d)
+    e = e if half is None else e.where(f"arrival_seq % 2 = {half}")
     metric = F.when(F.col("partition") < 2, "confirmed_s").otherwise("p50_us")
     return telemetry.case_summary(e.select("event_type", metric.alias("metric"), (F.col("value") + 1).alias("value"), (F.col("value") < 0).alias("failed")), ["event_type"])
 
@@ -778,9 +845,9 @@ def _cases(spark, d, shift):
 _CASES = "(SELECT event_type, CASE WHEN user_id %% 4 < 2 THEN 'confirmed_s' ELSE 'p50_us' END AS metric, median(value + 1) AS \"median\", min(value + 1) AS \"min\", max(value + 1) AS \"max\", count(*) AS runs, bool_or(value < 0) AS failed FROM events WHERE event_id %% 2 = %d GROUP BY 1, 2)"
 
 
-@query(_CASES % 0)
+@query(_CASES.replace(" WHERE event_id %% 2 = %d", "").replace("%%", "%"))
 def case_summary(spark, d):
-    return _cases(spark, d, 0)
+    return _cases(spark, d)
 
 
 @query(
@@ -788,6 +855,7 @@ def case_summary(spark, d):
     'b."min" <= n."max" AND n."min" <= b."max" AS overlapping FROM b JOIN n USING (event_type, metric)'
 )
 def regression_gate(spark, d):
+    """Every second event was measured before the change, the others after it."""
     return telemetry.regressions(_cases(spark, d, 0), _cases(spark, d, 1), ["event_type"], ["confirmed_s", "delivered_s"])
 
 
@@ -798,9 +866,67 @@ def complete_runs(spark, d):
     return telemetry.complete_runs(kinds).select("run_id", "value")
 
 
-@query("SELECT range AS \"index\", range * 1000 // 250 AS due_ms FROM range(2500)")
+_FIRST = f'WITH {L}, z AS (SELECT "partition", "offset" AS i, append_ms - min(append_ms) OVER (PARTITION BY "partition") AS m FROM l), '
+
+
+@query(_FIRST + 'q AS (SELECT "partition", m, i * 1000000000 // 3 AS ns FROM z) SELECT "partition", count(*) AS arrivals, max(m - ns // 1000000) AS max_late_ms, count(*) FILTER (m < ns // 1000000) AS early FROM q GROUP BY 1')
 def offered_load(spark, d):
-    return telemetry.offered_load(spark, 250, 10)
+    """How far each partition's events are from a steady load of three a second."""
+    return telemetry.lateness_of_load(_arrivals(spark, d), ["partition"], 3)
+
+
+@query(_FIRST + 'q AS (SELECT "partition", m, i * 1000000000 // 3 AS st FROM z), b AS (SELECT *, (st // 10000000000) * 10000000000 + (st % 10000000000) * 2000 // 10000 AS ns FROM q) SELECT "partition", count(*) AS arrivals, max(m - ns // 1000000) AS max_late_ms, count(*) FILTER (m < ns // 1000000) AS early FROM b GROUP BY 1')
+def burst_load(spark, d):
+    """The same with all of ten seconds' events in the first two."""
+    return telemetry.lateness_of_load(_arrivals(spark, d), ["partition"], 3, 10_000, 2_000)
+
+
+@query('WITH i AS (SELECT event_id AS i FROM events) SELECT i AS "index", CASE WHEN i < 100 THEN i * 1000000000 // 10 WHEN i < 500 THEN 10000000000 + (i - 100) * 1000000000 // 40 WHEN i < 1500 THEN 20000000000 + (i - 500) * 1000000000 // 100 END AS due_ns FROM i')
+def ramp_load(spark, d):
+    """Ten seconds each of 10, 40 and 100 a second, for events by number; past the ramp none is due."""
+    e = topics.table(spark, d, "events").select(F.col("event_id").alias("index"))
+    return e.withColumn("due_ns", telemetry.due_in_ramp(F.col("index"), [(10, 10), (40, 10), (100, 10)]))
+
+
+def _arrivals(spark, d):
+    log = _log(spark, d).select("partition", F.col("offset").alias("index"), "append_ms")
+    first = log.groupBy("partition").agg(F.min("append_ms").alias("_first"))
+    return log.join(first, "partition").select("partition", "index", (F.col("append_ms") - F.col("_first")).alias("at_ms"))
+
+
+@query(
+    f"WITH {A}, r AS (SELECT \"partition\", message_id, append_ms AS s, append_ms + CAST(floor(value) AS BIGINT) AS c, CASE WHEN event_type <> 'error' THEN append_ms + CAST(floor(value * 2) AS BIGINT) END AS dl FROM a), w AS (SELECT {T0} AS b, {T0 + DAY} AS e) "
+    'SELECT "partition", count(*) FILTER (s >= b AND s < e) / 86400.0 AS submitted_per_second, count(*) FILTER (c >= b AND c < e) / 86400.0 AS confirmed_per_second, count(*) FILTER (dl >= b AND dl < e) / 86400.0 AS delivered_per_second, count(c) AS total_confirmed, count(DISTINCT CASE WHEN dl IS NOT NULL THEN message_id END) AS total_verified, '
+    "greatest(max(c) - max(e), 0) / 1000.0 AS writer_drain_s, greatest(max(dl) - max(e), 0) / 1000.0 AS reader_drain_s FROM r, w GROUP BY 1"
+)
+def run_summary(spark, d):
+    a = _attempts(spark, d)
+    after = lambda k: F.col("append_ms") + F.floor(F.col("value") * k).cast("long")
+    r = a.select("partition", "message_id", F.col("append_ms").alias("submitted_ms"), after(1).alias("confirmed_ms"), F.when(F.col("event_type") != "error", after(2)).alias("delivered_ms"))
+    return telemetry.run_summary(r, ["partition"], T0, T0 + DAY)
+
+
+@query(
+    f'WITH {A}, s AS (SELECT "partition", append_ms AS t, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY "partition" ORDER BY append_ms, arrival_seq) AS v FROM a), u AS (SELECT "partition", t, max(v) AS v FROM s GROUP BY 1, 2), '
+    f'g AS (SELECT "partition", coalesce(max(CASE WHEN t <= {T0} THEN v END), 0) AS b, max(v) AS z, max(t) AS z_at FROM u GROUP BY 1) SELECT "partition", CAST(z - b AS BIGINT) AS delta, CASE WHEN z_at > {T0} THEN (z - b) * 1000.0 / (z_at - {T0}) END AS per_second FROM g'
+)
+def counter_deltas(spark, d):
+    """A counter that only grows, seen at every moment that has an event."""
+    a = _attempts(spark, d).groupBy("partition", F.col("append_ms").alias("uptime_ms")).agg(F.sum(F.floor("value").cast("long")).alias("_v"))
+    s = ordering.running(a, ["partition"], "uptime_ms", F.col("_v"), "value", "sum", DAY)
+    return telemetry.counter_deltas(s, ["partition"], T0)
+
+
+@query(
+    "WITH k AS (SELECT event_type AS group_id, count(*) FILTER (event_id % 10 > 1) AS confirmed, count(*) FILTER (event_id % 10 = 1) AS redelivered, count(*) FILTER (event_id % 10 = 0) AS fenced FROM events GROUP BY 1), "
+    "u AS (SELECT event_type AS group_id, count(DISTINCT (user_id, event_id // 100)) AS update_requests FROM events WHERE event_type <> 'view' GROUP BY 1) "
+    "SELECT group_id, confirmed, redelivered, fenced, coalesce(update_requests, 0) AS update_requests, confirmed / update_requests AS acknowledgments_per_update FROM k LEFT JOIN u USING (group_id)"
+)
+def group_processing(spark, d):
+    e = topics.table(spark, d, "events").withColumn("group_id", F.col("event_type"))
+    acks = e.select("group_id", F.when(F.col("event_id") % 10 == 0, "fenced").when(F.col("event_id") % 10 == 1, "redelivered").otherwise("confirmed").alias("outcome"))
+    asked = e.where("group_id <> 'view'").select("group_id", "user_id", F.floor(F.col("event_id") / 100)).distinct()
+    return telemetry.group_processing(acks, asked, ["group_id"])
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 64")
@@ -808,11 +934,13 @@ def newest_diagnostics(spark, d):
     return telemetry.newest(topics.table(spark, d, "events").select("event_id", "event_type"), [F.desc("event_id")], 64)
 
 
-@query("SELECT l_orderkey % 16 AS lane, count(*) AS records, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes, true AS agrees FROM lineitem GROUP BY 1")
+def _lanes(spark, d):
+    return topics.line_attempts(spark, d).select((F.col("producer_id") % 16).alias("lane"), F.concat_ws("/", "producer_id", "sequence").alias("lane_sequence"), "message_id", "bytes")
+
+
+@query("SELECT l_orderkey % 16 AS lane, count(*) AS records, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(sha256(l_orderkey || '/' || l_linenumber || '/' || l_partkey), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM lineitem GROUP BY 1")
 def lane_digests(spark, d):
-    x = topics.line_attempts(spark, d).select((F.col("producer_id") % 16).alias("lane"), F.concat_ws("/", "producer_id", "sequence").alias("lane_sequence"), "message_id", "bytes")
-    a, b = telemetry.lane_digests(x), telemetry.lane_digests(x.repartition(5, "message_id"))
-    return a.join(b.select("lane", F.col("digest").alias("_d")), "lane").select("lane", "records", "bytes", (F.col("digest") == F.col("_d")).alias("agrees"))
+    return telemetry.lane_digests(_lanes(spark, d)).withColumn("digest", F.col("digest").cast("string"))
 
 
 # --- control -----------------------------------------------------------------------------
@@ -923,14 +1051,18 @@ def oracle_changed_retry(spark, d):
 
 
 def _seen(spark, d):
-    log = _log(spark, d)
-    return log.select("partition", F.when(F.col("arrival_seq") % 333 == 0, F.col("offset") - 1).otherwise(F.col("offset")).alias("offset"), F.col("producer_id").alias("message_id"), F.col("arrival_seq").alias("fingerprint"), (F.col("arrival_seq") % 10 == 9).alias("attempt_only"))
+    """Reads of the log, and receipts of which some contradict them."""
+    log = _log(spark, d).select("partition", "offset", F.col("arrival_seq").alias("message_id"), F.col("arrival_seq").alias("fingerprint"), "arrival_seq")
+    read = log.withColumns({"attempt_only": F.lit(False), "disposition": F.lit(None).cast("string")})
+    n = F.col("arrival_seq")
+    told = log.withColumns({"attempt_only": F.lit(True), "disposition": F.when(n % 10 == 9, "duplicate").otherwise("stored"), "offset": F.when(n % 333 == 0, F.col("offset") - 1).otherwise(F.col("offset")), "fingerprint": F.when(n % 10 >= 8, -n).otherwise(n)})
+    return read.unionByName(told).drop("arrival_seq")
 
 
-_SN = f'WITH {L}, sn AS (SELECT "partition", CASE WHEN arrival_seq % 333 = 0 THEN "offset" - 1 ELSE "offset" END AS "offset", producer_id AS message_id, arrival_seq AS fingerprint FROM l WHERE arrival_seq % 10 <> 9) '
+_SN = f"WITH {L}, sn AS (SELECT \"partition\", \"offset\", arrival_seq AS message_id, arrival_seq AS fingerprint, NULL AS told FROM l UNION ALL SELECT \"partition\", CASE WHEN arrival_seq % 333 = 0 THEN \"offset\" - 1 ELSE \"offset\" END, arrival_seq, CASE WHEN arrival_seq % 10 >= 8 THEN -arrival_seq ELSE arrival_seq END, CASE WHEN arrival_seq % 10 = 9 THEN 'duplicate' ELSE 'stored' END FROM l) "
 
 
-@query(_SN + 'SELECT "partition", "offset", count(DISTINCT (message_id, fingerprint)) AS values FROM sn GROUP BY 1, 2 HAVING count(DISTINCT (message_id, fingerprint)) > 1')
+@query(_SN + "SELECT \"partition\", \"offset\", count(DISTINCT (message_id, fingerprint)) AS values FROM sn WHERE told IS DISTINCT FROM 'duplicate' GROUP BY 1, 2 HAVING count(DISTINCT (message_id, fingerprint)) > 1")
 def oracle_conflicting_offset(spark, d):
     return consistency.conflicting_offsets(_seen(spark, d))
 
@@ -940,6 +1072,19 @@ def oracle_duplicate_storage(spark, d):
     return consistency.duplicate_storage(_seen(spark, d))
 
 
+@query("SELECT r AS round, range AS key FROM range(12), (VALUES ('warm'), ('cold')) t(r) WHERE range NOT IN (SELECT DISTINCT c_nationkey % 10 FROM customer WHERE c_acctbal > 0)")
+def oracle_missing_markers(spark, d):
+    markers = topics.table(spark, d, "customer").where("c_acctbal > 0").select((F.col("c_nationkey") % 10).cast("long").alias("key"))
+    return consistency.missing_markers(markers, spark.range(12).withColumnRenamed("id", "key"), ["warm", "cold"])
+
+
+@query("SELECT l_orderkey % 16 AS lane, count(*) AS written_records, count(*) + count(*) FILTER (l_partkey % 1000 = 0) AS read_records FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_partkey % 1000 = 0) > 0")
+def oracle_lane_digest(spark, d):
+    """Some records were delivered twice more."""
+    x = _lanes(spark, d)
+    return consistency.lane_mismatches(x, x.unionByName(x.where("message_id % 1000 = 0")))
+
+
 @query(f"WITH {D}, st AS (SELECT \"partition\", \"offset\", message_id AS stored_id FROM o WHERE disposition = 'stored'), du AS (SELECT \"partition\", arrival_seq, message_id, CASE WHEN arrival_seq % 37 = 0 THEN 0 ELSE \"offset\" END AS \"offset\" FROM o WHERE disposition = 'duplicate') SELECT du.\"partition\", du.arrival_seq AS \"sequence\" FROM du LEFT JOIN st USING (\"partition\", \"offset\") WHERE du.message_id IS DISTINCT FROM stored_id")
 def oracle_wrong_dedup_target(spark, d):
     seen = _dedup(spark, d).where("disposition = 'stored'").select("partition", "offset", "message_id", F.lit(False).alias("attempt_only"))
@@ -1045,3 +1190,109 @@ def ledger_selection(spark, d):
     o = topics.table(spark, d, "orders")
     runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("kase"), F.col("o_orderpriority").alias("mode"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("started_ms"))
     return telemetry.selected_runs(runs, ["kase"], ["mode"]).select("run_id", "kase", "mode")
+
+
+# --- bounded state -----------------------------------------------------------------------
+
+
+@query(
+    f"WITH {D}, cf AS (SELECT \"partition\", CAST(max(\"offset\") * 3 // 4 AS BIGINT) AS ok FROM o GROUP BY 1), pe AS (SELECT o.\"partition\", split_part(message_id, '/', 1) AS producer_id, min(arrival_seq) AS since FROM o JOIN cf USING (\"partition\") WHERE disposition = 'duplicate' AND \"offset\" >= ok GROUP BY 1, 2) "
+    "SELECT o.\"partition\", arrival_seq, arrival_seq = since AS pending FROM o JOIN pe ON pe.\"partition\" = o.\"partition\" AND pe.producer_id = split_part(o.message_id, '/', 1) WHERE arrival_seq >= since"
+)
+def dedup_waiting(spark, d):
+    """What waits while three quarters of each partition are confirmed."""
+    o = _dedup(spark, d).withColumn("producer_id", F.split_part("message_id", F.lit("/"), F.lit(1)))
+    confirmed = o.groupBy("partition").agg(F.floor(F.max("offset") * 3 / 4).cast("long").alias("next_offset"))
+    return dedup.waiting(o, confirmed).select("partition", "arrival_seq", "pending")
+
+
+@query(None)
+def dedup_admission(spark, d):
+    """Refusals depend on all that came before: a test holds them against a plain index."""
+    a = _attempts(spark, d).select("partition", F.floor(F.col("arrival_seq") / 20).alias("request"), "append_ms", F.concat_ws("/", "producer_id", "event_type").alias("id"))
+    r = a.groupBy("partition", "request").agg(F.max("append_ms").alias("time"), F.collect_set("id").alias("message_ids"))
+    return dedup.admitted(r, WINDOW, 8).select("partition", "request", "error_code")
+
+
+@query(
+    f'WITH {D} SELECT o."partition", arrival_seq, disposition FROM o WHERE arrival_seq >= (SELECT max(arrival_seq) // 2 FROM o)'
+)
+def dedup_restore(spark, d):
+    """The second half of the attempts, decided from what the first half left, gives what all together give."""
+    a = _attempts(spark, d).select("arrival_seq", "partition", F.concat_ws("/", "producer_id", "event_type").alias("message_id"), "append_ms")
+    half = a.agg(F.floor(F.max("arrival_seq") / 2).alias("_half"))
+    both = a.join(F.broadcast(half), F.col("arrival_seq").isNotNull()).withColumn("_late", F.col("arrival_seq") >= F.col("_half")).drop("_half")
+    early = dedup.classify(both.where("not _late").drop("_late"), WINDOW)
+    return dedup.restored(dedup.live_identities(early, WINDOW), both.where("_late").drop("_late"), WINDOW).select("partition", "arrival_seq", "disposition")
+
+
+@query(None)
+def schedule_capacity(spark, d):
+    """Refusals depend on what is held: a test holds them against a plain queue."""
+    return delay.schedule_within(_orders(spark, d), 60 * DAY, 300).select("partition", "arrival_seq", "error_code")
+
+
+@query(f'WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY release_ms, schedule) - 1 AS place FROM h WHERE release_ms <= {SHIP_NOW}) SELECT "partition", arrival_seq, place FROM r WHERE place < 64')
+def due_prefix(spark, d):
+    """What one step of 64 releases."""
+    return delay.due_prefix(_held(spark, d), SHIP_NOW, 64).select("partition", "arrival_seq", "place")
+
+
+@query(
+    "WITH g AS (SELECT r_regionkey AS group_id, r_name AS name, r_regionkey + 1 AS revision FROM region), p AS (SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 3 = 0 THEN r_name ELSE n_name END AS name, n_nationkey % 4 AS expected FROM nation JOIN region ON r_regionkey = n_nationkey % 5), "
+    "j AS (SELECT p.*, g.name AS own, g.revision AS rev, o.group_id AS owner FROM p LEFT JOIN g USING (group_id) LEFT JOIN g o ON o.name = p.name), "
+    "e AS (SELECT *, CASE WHEN coalesce(rev, 0) <> expected THEN 5 WHEN own <> name OR owner <> group_id THEN 1 END AS error_code FROM j) SELECT group_id, name, CASE WHEN error_code IS NULL THEN expected + 1 ELSE rev END AS revision, error_code FROM e"
+)
+def group_install(spark, d):
+    """Plans for groups that are there and new ones, some at a stale revision, some under another's name."""
+    r, n = topics.table(spark, d, "region"), topics.table(spark, d, "nation")
+    there = r.select(F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 1).alias("revision"))
+    named = n.join(r, r.r_regionkey == n.n_nationkey % 5)
+    plans = named.select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_nationkey") % 3 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("name"), (F.col("n_nationkey") % 4).alias("expected_revision"), (F.col("n_nationkey") % 4 + 1).alias("revision"))
+    return groups.install_plans(there, plans)
+
+
+@query("SELECT n_nationkey AS group_id, CASE WHEN r_regionkey + 1 = n_nationkey % 3 + 1 THEN r_name END AS freed, CASE WHEN r_regionkey IS NULL THEN 1 WHEN r_regionkey + 1 <> n_nationkey % 3 + 1 THEN 5 END AS error_code FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
+def group_delete(spark, d):
+    r, n = topics.table(spark, d, "region"), topics.table(spark, d, "nation")
+    there = r.select(F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") + 1).alias("revision"))
+    return groups.delete_groups(there, n.select(F.col("n_nationkey").alias("group_id"), (F.col("n_nationkey") % 3 + 1).alias("revision")))
+
+
+@query(_PROG + 'SELECT pr.group_id, l."partition", l."offset" FROM l JOIN pr ON pr."partition" = l."partition" AND l."offset" >= pr.next_offset AND l."offset" < pr.next_offset + 32')
+def group_deliverable(spark, d):
+    """What each group may have in processing from its cursors on, 32 records to a partition."""
+    return groups.deliverable(_log(spark, d), _progress(spark, d).withColumnRenamed("next_offset", "cursor"), 32).select("group_id", "partition", "offset")
+
+
+@query(_PROG + 'SELECT group_id, "partition", next_offset, (row_number() OVER (PARTITION BY "partition" ORDER BY group_id) - 1) // 2 AS proposal FROM pr')
+def progress_proposals(spark, d):
+    return groups.proposals(_progress(spark, d), 2)
+
+
+@query(
+    f"WITH RECURSIVE {L}, n AS (SELECT \"partition\", \"offset\", \"offset\" + 1 AS rn, octet_length(encode(props)) * (1 + arrival_seq % 9) AS bytes FROM l), "
+    'c AS (SELECT DISTINCT "partition", CAST(-1 AS BIGINT) AS "offset", CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seg, CAST(0 AS BIGINT) AS used FROM n UNION ALL '
+    'SELECT n."partition", n."offset", n.rn, CASE WHEN c.used > 0 AND c.used + n.bytes > 4096 THEN c.seg + 1 ELSE c.seg END, CASE WHEN c.used > 0 AND c.used + n.bytes > 4096 THEN n.bytes ELSE c.used + n.bytes END FROM c JOIN n ON n."partition" = c."partition" AND n.rn = c.rn + 1) '
+    'SELECT "partition", seg AS segment, min("offset") AS first_offset, max("offset") + 1 AS record_end FROM c WHERE rn > 0 GROUP BY 1, 2'
+)
+def segment_roll(spark, d):
+    """Segments of 4 KiB, however many records that takes."""
+    log = _log(spark, d).withColumn("bytes", F.octet_length("props") * (1 + F.col("arrival_seq") % 9))
+    return retention.rolled(log, 4096).groupBy("partition", "segment").agg(F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("record_end"))
+
+
+@query(
+    _SQL["retention_plan"].replace("SELECT \"partition\", coalesce(string_agg", ", rp AS (SELECT \"partition\", coalesce(string_agg", 1).replace("z AS (SELECT *, min(CASE WHEN NOT due OR holds THEN id END) OVER (PARTITION BY \"partition\") AS stop FROM w) ,", "z AS (SELECT *, min(CASE WHEN NOT due OR holds THEN id END) OVER (PARTITION BY \"partition\") AS stop FROM w),")
+    + ') SELECT l."partition", min(l."offset") AS retained_from, count(*) AS records FROM l JOIN rp USING ("partition") WHERE l."offset" >= rp.record_floor GROUP BY 1'
+)
+def retention_turn(spark, d):
+    """What is left of the log after one turn."""
+    left = retention.turn(_log(spark, d), _segments(spark, d), _policies(spark, d), NOW)
+    return left.groupBy("partition").agg(F.min("offset").alias("retained_from"), F.count("*").alias("records"))
+
+
+@query(f"WITH {L}, s AS (SELECT producer_id, max(arrival_seq) AS op FROM l GROUP BY 1) SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(producer_id || '/' || op), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM s")
+def snapshot_digest(spark, d):
+    a = _attempts(spark, d).groupBy("producer_id").agg(F.max("arrival_seq").alias("op"))
+    return retention.snapshot_digest(a, ["producer_id", "op"]).withColumn("digest", F.col("digest").cast("string"))
