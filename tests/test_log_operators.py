@@ -133,7 +133,7 @@ def test_retention(spark, age, size, committed, held, trimmed, now, retire, carr
 
 def test_packing_against_a_plain_search(spark):
     rng = random.Random(4)
-    rows = [(p, i, rng.choice([10, 300, 500, 900])) for p in range(5) for i in range(12)]
+    rows = [(p, i, rng.choice([0, 10, 300, 500, 900])) for p in range(5) for i in range(12)]
     df = spark.createDataFrame([(*r, True) for r in rows], "partition int, id long, live_bytes long, sealed boolean")
     found = {r.partition: (r.first_id, r.last_id) for r in retention.best_run(df, 1024).collect()}
     for p in range(5):
@@ -141,7 +141,7 @@ def test_packing_against_a_plain_search(spark):
         for i in range(12):
             for j in range(i + 1, 12):
                 total = sum(live[i : j + 1])
-                if total <= 1024 and (j - i) * 1024 >= total and (best is None or (j - i) * best[2] > (best[1] - best[0]) * total):
+                if total <= 1024 and (j - i) * 1024 >= total and (best is None or (j - i) * max(best[2], 1) > (best[1] - best[0]) * max(total, 1)):
                     best = (i, j, total)
         assert found.get(p) == (best and best[:2])
 

@@ -109,7 +109,10 @@ def best_run(segments: DataFrame, capacity: int, header: int = 0) -> DataFrame:
     room = capacity - header
     # for each start the runs that fit: a window over the following segments, by bytes
     reach = Window.partitionBy("partition").orderBy("end_bytes").rangeBetween(0, room)
-    runs = s.withColumn("start_bytes", F.col("end_bytes") - F.col("live_bytes")).withColumn("ends", F.collect_list(F.struct("n", "id", "end_bytes")).over(reach))
+    # of ends with equal bytes only the last can be best, so a list holds no more than fit by their bytes
+    last = F.coalesce(F.lead("end_bytes").over(w) != F.col("end_bytes"), F.lit(True))
+    s = s.withColumn("end", F.when(last, F.struct("n", "id", "end_bytes")))
+    runs = s.withColumn("start_bytes", F.col("end_bytes") - F.col("live_bytes")).withColumn("ends", F.collect_list("end").over(reach))
     each = runs.select("partition", F.col("n").alias("first_n"), F.col("id").alias("first_id"), "start_bytes", F.explode("ends").alias("e"))
     sized = each.select("partition", "first_n", "first_id", F.col("e.id").alias("last_id"), (F.col("e.n") - F.col("first_n")).alias("freed"), (F.col("e.end_bytes") - F.col("start_bytes")).alias("bytes"))
     fits = sized.where((F.col("freed") > 0) & (F.col("bytes") <= room) & (F.col("freed") * capacity >= F.col("bytes")))

@@ -52,26 +52,33 @@ RELEASE_OUTPUT = "partition int, message_id string, release_ms bigint, schedule
 
 class ReleaseProcessor(StatefulProcessor):
     """Delayed release for one partition: held records are kept by their release key and leave
-    in its order once the partition's time, the largest append time seen, has come to it."""
+    in its order once the partition's time, the largest append time seen, has come to it.  What
+    is held is only walked when the earliest release key is due."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getMapState("held", "release_ms bigint, schedule bigint", "message_id string")
-        self.at = handle.getValueState("at", "time bigint, schedule bigint, offset bigint")
+        self.at = handle.getValueState("at", "time bigint, schedule bigint, offset bigint, earliest bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        time, schedule, offset = self.at.get() if self.at.exists() else (0, 0, 0)
+        time, schedule, offset, earliest = self.at.get() if self.at.exists() else (0, 0, 0, None)
         batch = pd.concat(list(rows)).sort_values("arrival_seq", kind="stable")
         for message, append, due in zip(batch["message_id"], batch["append_ms"], batch["due_ms"], strict=True):
             time = max(time, int(append))
-            self.held.updateValue((max(int(due), int(append)), schedule), (message,))
+            key_ms = max(int(due), int(append))
+            self.held.updateValue((key_ms, schedule), (message,))
+            earliest = key_ms if earliest is None else min(earliest, key_ms)
             schedule += 1
-        due_now = sorted((k for k in self.held.keys() if k[0] <= time), key=tuple)
+        due_now = []
+        if earliest is not None and earliest <= time:
+            held = [tuple(k) for k in self.held.keys()]
+            due_now = sorted(k for k in held if k[0] <= time)
+            earliest = min((k[0] for k in held if k[0] > time), default=None)
         out = []
         for k in due_now:
             out.append((key[0], self.held.getValue(k)[0], k[0], k[1], offset))
             self.held.removeKey(k)
             offset += 1
-        self.at.update((time, schedule, offset))
+        self.at.update((time, schedule, offset, earliest))
         yield pd.DataFrame(out, columns=["partition", "message_id", "release_ms", "schedule", "offset"])
 
     def close(self) -> None:
