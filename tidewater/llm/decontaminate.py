@@ -1,14 +1,14 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Test items (questions and answers) are normalised to words; every run of ``window``
-words of an item, or a shorter item as a whole, is a pattern.  The automaton's symbols are
-the words that patterns have, numbered.  A document is normalised the same way and scanned
-once; the words that any occurrence covers are mapped back to offsets of the original text.
+words of an item, or a shorter item as a whole, is a pattern between single spaces.  A
+document is normalised the same way and scanned once; the words that any occurrence covers
+are mapped back to offsets of the original text.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z lower-cased.
 A separator byte is always ASCII, so the work is done on UTF-8.
 
-Patterns are a table in the shared folder.  Up to ``block_words`` words of patterns make one
+Patterns are a table in the shared folder.  Up to ``block_bytes`` of patterns make one
 automaton; a larger benchmark is dealt into as many blocks as needed, of which the driver and
 each task hold one at a time: every block is one scan of the documents, which leaves what it
 found by digest of the text, and so each worker builds each automaton once.
@@ -23,9 +23,9 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from tidewater.llm.common import map_batches, materialise, release, slices, text_of
 
-#: Words of patterns in one automaton (a node for each at most, of some 80 bytes, and so some 160 MB).
-BLOCK_WORDS = 2_000_000
+#: UTF-8 bytes of patterns in one automaton (a node takes some 40 bytes, and so at most some 160 MB).
+BLOCK_BYTES = 4_000_000
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: A-Z to a-z, separators to space.
@@ -56,69 +56,72 @@ def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_co
     """``pattern string``, ``item_ids array<string>``: each distinct window with the items that have it."""
 
     def batch(batches):
-        for b in batches:
+        for b in slices(batches, 1_000_000):
             ids, patterns = [], []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 for i in range(max(len(words) - window + 1, min(1, len(words)))):
                     ids.append(item)
-                    patterns.append(b" ".join(words[i : i + window]).decode())
+                    patterns.append(b" ".join([b"", *words[i : i + window], b""]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(patterns, pa.string())], ["item", "pattern"])
 
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_of(text_col).alias("text"))
     return rows.mapInArrow(batch, "item string, pattern string").groupBy("pattern").agg(F.collect_set("item").alias("item_ids"))
 
 
-def blocks(items: DataFrame, window: int, block_words: int) -> Iterator[tuple[Broadcast, bool]]:
-    """The patterns in blocks of at most about ``block_words``, each with a name of its own and
+def blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The patterns in blocks of at most about ``block_bytes``, each with a name of its own and
     shared with the tasks until the next is asked for, and whether it is the only one."""
     spark = items.sparkSession
     windows = materialise(item_windows(items, window), "benchmark-windows")
-    size = windows.agg(F.sum(window + 2 * F.size("item_ids"))).first()[0] or 0
-    n = -(-size // block_words)
-    for i in range(n):
-        part = [(r.pattern.encode().split(b" "), list(r.item_ids)) for r in windows.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == i).toLocalIterator()]
-        if part:
-            shared = spark.sparkContext.broadcast((uuid.uuid4().hex, part))
-            yield shared, n == 1
-            if n > 1:
-                shared.unpersist()
-    release(windows)
+    size = windows.agg(F.sum(F.octet_length("pattern") + 16 * F.size("item_ids"))).first()[0] or 0
+    n = -(-size // block_bytes)
+    try:
+        for i in range(n):
+            part = [(r.pattern, list(r.item_ids)) for r in windows.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == i).toLocalIterator()]
+            if part:
+                shared = spark.sparkContext.broadcast((uuid.uuid4().hex, part))
+                yield shared, n == 1
+                if n > 1:
+                    shared.unpersist()
+    finally:
+        release(windows)
 
 
-Found = tuple[ahocorasick.Automaton, dict[bytes, int]]
-_held: dict[str, Found] = {}
+_held: dict[str, ahocorasick.Automaton] = {}
 
 
-def automaton(name: str, patterns: list[tuple[list[bytes], list[str]]]) -> Found:
-    """The automaton and the numbers of the words; one per Python worker, the block before it goes."""
+def automaton(name: str, patterns: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
+    """One per Python worker; the block before it goes."""
     if name not in _held:
         _held.clear()
-        numbers: dict[bytes, int] = {}
-        made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k, (words, _) in enumerate(patterns):
-            made.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (k, len(words)))
+        made = ahocorasick.Automaton()
+        for k, (pattern, _) in enumerate(patterns):
+            made.add_word(pattern, (k, pattern.count(" ") - 1))
         made.make_automaton()
-        _held[name] = made, numbers
+        _held[name] = made
     return _held[name]
 
 
-def scan(words: list[bytes], found: Found) -> tuple[list[tuple[int, int]], set[int]]:
+def scan(words: list[bytes], found: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[int]]:
     """Where patterns occur, as (first word, end word), and which."""
-    made, numbers = found
-    symbols = tuple(map(numbers.get, words, repeat(0)))
-    if not any(symbols):
+    normal = b" ".join([b"", *words, b""]).decode()
+    ends = [(end, k, n) for end, (k, n) in found.iter(normal)] if words else []
+    if not ends:
         return [], set()
-    ends = list(made.iter(symbols))
-    return [(end + 1 - n, end + 1) for end, (_, n) in ends], {k for _, (k, _) in ends}
+    # how many words end before each matched space
+    spaces = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le"), np.uint32) == 0x20)
+    after = np.searchsorted(spaces, [e for e, _, _ in ends]).tolist()
+    return [(e - n, e) for e, (_, _, n) in zip(after, ends, strict=True)], {k for _, k, _ in ends}
 
 
 def located(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Runs of words with their code point offsets, end exclusive, in the original text."""
     data = text.encode()
     at = [m.span() for m in _WORD.finditer(data)]
-    place = (lambda i: i) if len(data) == len(text) else (lambda i: len(data[:i].decode()))
-    return [{"first": a, "stop": b, "start": place(at[a][0]), "end": place(at[b - 1][1])} for a, b in runs]
+    # how many code points begin before each byte
+    place = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    return [{"first": a, "stop": b, "start": int(place[at[a][0]]), "end": int(place[at[b - 1][1]])} for a, b in runs]
 
 
 def digest_of(text_col: str) -> Column:
@@ -144,11 +147,11 @@ def hits(docs: DataFrame, shared: Broadcast, text_col: str) -> DataFrame:
     return docs.select(digest_of(text_col), text_of(text_col)).mapInArrow(run, f"digest string, runs {RUN}, item_ids array<string>")
 
 
-def all_hits(docs: DataFrame, items: DataFrame, window: int, text_col: str, block_words: int) -> DataFrame | Broadcast | None:
+def all_hits(docs: DataFrame, items: DataFrame, window: int, text_col: str, block_bytes: int) -> DataFrame | Broadcast | None:
     """What all blocks find, once for each text, or the only block, not scanned for yet; None
     without patterns."""
     tables: list[DataFrame] = []
-    for shared, only in blocks(items, window, block_words):
+    for shared, only in blocks(items, window, block_bytes):
         if only:
             return shared
         tables.append(materialise(hits(docs, shared, text_col).dropDuplicates(["digest"]), "benchmark-hits"))
@@ -160,9 +163,9 @@ def all_hits(docs: DataFrame, items: DataFrame, window: int, text_col: str, bloc
     return every.groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs."""
-    held = all_hits(docs, items, window, text_col, block_words)
+    held = all_hits(docs, items, window, text_col, block_bytes)
     if held is None:
         return docs
     if isinstance(held, DataFrame):
@@ -177,10 +180,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
     return docs.where(clean(text_of(text_col)))
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every row: ``id_col``, ``n_words``, ``n_hit``, ``item_ids`` (sorted as strings) and
     ``spans``, the hit passages in the original text."""
-    held = all_hits(docs, items, window, text_col, block_words)
+    held = all_hits(docs, items, window, text_col, block_bytes)
     several = isinstance(held, DataFrame)
     shared = None if several else held
     added = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("first", "stop", "start", "end")]))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
