@@ -409,8 +409,8 @@ def test_decontamination_by_brute_force(spark):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {i: {tuple(split(t)[k : k + 10]) for k in range(max(len(split(t)) - 9, min(1, len(split(t)))))} for i, t in items}
     docs, table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
-    for size in (decontaminate.BLOCK_WORDS, 90):  # one automaton, and several
-        for r in decontaminate.find(docs, table, block_words=size).collect():
+    for size in (decontaminate.BLOCK_BYTES, 600):  # one automaton, and several
+        for r in decontaminate.find(docs, table, block_bytes=size).collect():
             w, hit, found = split(texts[r.doc_id]), set(), set()
             for i, ws in windows.items():
                 for x in ws:
@@ -634,6 +634,40 @@ def test_pipeline(spark, docs, texts):
             assert decoded == texts[r.doc_id]
 
 
+LONG, SIX = "lorem ipsum dolor sit amet consectetur " * 12_000, "One two three four five six."
+
+
+def test_values_on_awkward_tables(awkward):
+    """What the docstrings say of null, empty, blank, letterless, very long and repeated texts."""
+    of = lambda df, i: sorted((r for r in df.collect() if r.doc_id == i), key=str)
+    library, piece = tokenizers.Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    nothing = hashlib.sha256(b"").hexdigest()
+    out = bpe.roundtrip_digests(awkward, BPE)
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, nothing, nothing) for i in (1, 2) for r in of(out, i))
+    assert of(out, 5)[0].n_tokens == len(library.encode(LONG, add_special_tokens=False).ids) and of(out, 5)[0].decoded_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
+    assert len(of(out, 6)) == 3 and of(out, 8)[0].ids_sha256 in {r.ids_sha256 for r in of(out, 6)}
+    out = simhash.report(awkward)
+    assert {(r.fingerprint, r.component_id) for i in (1, 2, 3) for r in of(out, i)} == {("0" * 16, 1)} and of(out, None)[0].fingerprint in ("0" * 16, f"{fingerprint('no id at all here'):016x}")
+    assert of(out, 8)[0].component_id == 6 and of(out, 5)[0].fingerprint == f"{fingerprint(LONG):016x}"
+    out = licenses.report(awkward)
+    assert {(r.licenses, r.n_passages, r.spans, r.loose) for r in out.collect()} == {("", 0, "", "")}
+    out = language.report(awkward)
+    assert {(r.lang_pred, r.score) for i in (1, 2, 3, 4) for r in of(out, i)} == {("und", 0.0)} and {r.lang_pred for i in (5, 6, 7, 8) for r in of(out, i)} == {"en"}
+    out = minhash.edited_report(awkward)
+    assert of(out, 1)[0].n_chars == 0 and set(of(out, 1)[0].fingerprint) == {"0"} and of(out, 5)[0].n_chars == len(LONG)
+    assert len({r.fingerprint for i in (6, 8) for r in of(out, i)}) == 2 and of(out, 1)[0].near_edited == 1.0
+    out = secrets.report(awkward)
+    assert {(r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in out.collect()} == {(0, 0, 0, nothing, "")}
+    out = toxicity.report(awkward, awkward.select("doc_id", F.lit(None).cast("int").alias("toxic")))
+    assert {(r.score < 0.1, r.predicted) for r in out.collect()} == {(True, 0)}
+    out = token_counts.report(awkward, PIECE)
+    assert of(out, 1)[0][1:] == of(out, 2)[0][1:] == (0, 0, False) and of(out, 5)[0][1:] == (len(LONG), len(piece.encode(LONG)), True)
+    out = decontaminate.report(awkward, awkward.where("doc_id = 8").select(F.col("doc_id").alias("item_id"), "text"))
+    assert of(out, 1)[0][1:] == (0, 0, 0, nothing, False) and of(out, 8)[0][1:] == (6, 6, 1, hashlib.sha256(b"8").hexdigest(), True) and [r.n_hit for r in of(out, 6)].count(6) == 2 and of(out, 5)[0][1:] == (72_000, 0, 0, nothing, False)
+    out = pii.report(awkward, "k")
+    assert of(out, 1)[0].text == "" and of(out, 5)[0].text == LONG and {r.n_entities for r in out.collect()} == {0}
+
+
 def test_tables_are_deleted(spark, docs):
     """Those of a scratch but the one kept; those released; without a shared folder only a local session works."""
     from tidewater.llm import common
