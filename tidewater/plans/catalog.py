@@ -538,9 +538,22 @@ def bounded_read(spark, d):
 _PARTS = "p AS (SELECT n_regionkey AS group_id, c_custkey AS \"partition\", c_custkey % 3 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
-@query(None)
+@query(
+    'WITH p AS (SELECT n_regionkey AS g, c_custkey AS pt, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS old FROM customer JOIN nation ON c_nationkey = n_nationkey), '
+    "m AS (SELECT n_regionkey AS g, n_nationkey AS mb, CASE WHEN n_nationkey % 7 = 0 THEN 2 ELSE 1 END AS j FROM nation WHERE n_nationkey % 5 <> 1), "
+    "o AS (SELECT p.*, m.mb AS owner FROM p LEFT JOIN m ON m.g = p.g AND m.mb = p.old AND m.j = 1), "
+    "q AS (SELECT m.*, (SELECT count(*) FROM o WHERE o.g = m.g AND o.owner = m.mb) AS owned, (SELECT count(*) FROM p WHERE p.g = m.g) AS slots, count(*) OVER (PARTITION BY m.g) AS n FROM m), "
+    "r AS (SELECT *, slots // n + CASE WHEN row_number() OVER (PARTITION BY g ORDER BY owned DESC, mb) <= slots % n THEN 1 ELSE 0 END AS quota FROM q), "
+    "k AS (SELECT o.*, o.owner IS NOT NULL AND row_number() OVER (PARTITION BY o.g, o.owner ORDER BY o.pt) <= r.quota AS kept FROM o LEFT JOIN r ON r.g = o.g AND r.mb = o.owner), "
+    "f AS (SELECT g, pt, row_number() OVER (PARTITION BY g ORDER BY pt) AS place FROM k WHERE NOT kept), "
+    "s AS (SELECT g, mb, unnest(range(quota - least(owned, quota))) AS i FROM r), e AS (SELECT g, mb, row_number() OVER (PARTITION BY g ORDER BY mb, i) AS place FROM s), "
+    "t AS (SELECT k.g, k.pt, k.old, CASE WHEN k.kept THEN k.owner ELSE e.mb END AS mb FROM k LEFT JOIN f ON f.g = k.g AND f.pt = k.pt LEFT JOIN e ON e.g = k.g AND e.place = f.place), "
+    "u AS (SELECT t.*, m.j, coalesce(t.old = t.mb AND m.j = 1, false) AS same FROM t LEFT JOIN m ON m.g = t.g AND m.mb = t.mb) "
+    'SELECT g AS group_id, pt AS "partition", mb AS member_id, j AS join_id, CASE WHEN same THEN 3 ELSE 4 END AS plan_revision, CASE WHEN NOT same THEN old END AS prior_member_id FROM u'
+)
 def group_plan(spark, d):
-    """A test holds the plan against a plain sequential planner."""
+    """Partitions spread over the nations of a region; some members have restarted, some have left.
+    A test holds plans against a plain sequential planner too."""
     n, c = topics.table(spark, d, "nation"), topics.table(spark, d, "customer")
     parts = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_regionkey").alias("group_id"), F.col("c_custkey").alias("partition"), "c_nationkey", "c_acctbal")
     members = n.where("n_nationkey % 5 <> 1").select(F.col("n_regionkey").alias("group_id"), F.col("n_nationkey").alias("member_id"), F.when(F.col("n_nationkey") % 7 == 0, 2).otherwise(1).alias("join_id"))
