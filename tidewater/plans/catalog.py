@@ -1233,10 +1233,9 @@ def dedup_admission(spark, d):
 def dedup_restore(spark, d):
     """The second half of the attempts, decided from what the first half left, gives what all together give."""
     a = _attempts(spark, d).select("arrival_seq", "partition", F.concat_ws("/", "producer_id", "event_type").alias("message_id"), "append_ms")
-    half = a.agg(F.floor(F.max("arrival_seq") / 2).alias("_half"))
-    both = a.join(F.broadcast(half), F.col("arrival_seq").isNotNull()).withColumn("_late", F.col("arrival_seq") >= F.col("_half")).drop("_half")
-    early = dedup.classify(both.where("not _late").drop("_late"), WINDOW)
-    return dedup.restored(dedup.live_identities(early, WINDOW), both.where("_late").drop("_late"), WINDOW).select("partition", "arrival_seq", "disposition")
+    half = a.agg(F.max("arrival_seq")).first()[0] // 2
+    early = dedup.classify(a.where(F.col("arrival_seq") < half), WINDOW)
+    return dedup.restored(dedup.live_identities(early, WINDOW), a.where(F.col("arrival_seq") >= half), WINDOW).select("partition", "arrival_seq", "disposition")
 
 
 @query(None)
