@@ -245,6 +245,13 @@ def test_scalars(spark):
     assert (r.n, r.none, r.c) == (["b"], None, 7) and r.p.endswith("CD") and len(r.p) == 64
 
 
+def test_display_texts(spark):
+    rows = spark.createDataFrame([(0.0, 0), (950.4, 59_999), (1234.0, 3_600_000), (45_600_000.0, 273_906_000), (12.34, 1), (0.5, 1), (7e15, 1)], "r double, ms long")
+    out = rows.select(scalars.rate_text(F.col("r")).alias("r"), scalars.uptime_text(F.col("ms")).alias("u")).collect()
+    assert [x.r for x in out] == ["0", "950", "1.23k", "45.6M", "12.3", "0.50", "7000T"]
+    assert [x.u for x in out][:4] == ["00:00:00", "00:00:59", "01:00:00", "3d 04:05:06"]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     log = append.assign_offsets(topics.event_attempts(spark, SF)).select(

@@ -41,6 +41,26 @@ def total_bytes(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))
 
 
+def group_label(topic: Column, name: Column) -> Column:
+    """A group's label: its topic, a question mark where that isn't known, and its name."""
+    return F.concat_ws("/", F.coalesce(topic, F.lit("?")), name)
+
+
+def rate_text(value: Column) -> Column:
+    """A rate in three digits and decimal units: 950, 1.23k, 45.6M."""
+    scale = F.least(F.greatest(F.floor(F.log10(F.when(value > 0, value).otherwise(F.lit(1.0))) / 3), F.lit(0)), F.lit(4)).cast("int")
+    scaled = value / F.pow(F.lit(1000.0), scale)
+    digits = F.when((scaled >= 100) | (value == 0), F.format_string("%.0f", scaled)).when(scaled >= 10, F.format_string("%.1f", scaled)).otherwise(F.format_string("%.2f", scaled))
+    return F.concat(digits, F.element_at(F.array(*map(F.lit, ("", "k", "M", "G", "T"))), scale + 1))
+
+
+def uptime_text(ms: Column) -> Column:
+    """Hours, minutes and seconds, and days before them if there are any."""
+    seconds = F.floor(ms / 1000).cast("long")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(seconds % 86_400 / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int"), (seconds % 60).cast("int"))
+    return F.when(seconds < 86_400, clock).otherwise(F.concat(F.floor(seconds / 86_400).cast("string"), F.lit("d "), clock))
+
+
 #: The kinds of event in benchmark payloads and their fields.
 EVENT_SCHEMAS = {
     "request": "ts string, level string, service string, trace_id string, method string, path string, status int, latency_ms int",

@@ -202,6 +202,14 @@ def retire(producers: DataFrame, retired: DataFrame) -> DataFrame:
     return producers.join(retired, ["partition", "producer_id", "epoch", "next_sequence"], "left_anti")
 
 
+def retired_epochs(producers: DataFrame, retired: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The highest epoch that each partition has retired, ``before`` included: no new session goes
+    below it."""
+    gone = producers.join(retired, ["partition", "producer_id", "epoch", "next_sequence"], "left_semi").select("partition", "epoch")
+    both = gone if before is None else gone.unionByName(before.select("partition", "epoch"))
+    return both.groupBy("partition").agg(F.max("epoch").alias("epoch"))
+
+
 def fingerprint(message_id: Column, parts: Column) -> Column:
     """SHA-256 over identity, number of parts and each part with its length, so that parts
     divided otherwise differ."""

@@ -62,13 +62,13 @@ def reader_order(deliveries: DataFrame) -> DataFrame:
 
 
 def uninvoked(observed: DataFrame, invoked: DataFrame) -> DataFrame:
-    """Records that nobody sent with that content."""
-    return observed.join(invoked.select("message_id", "fingerprint"), ["message_id", "fingerprint"], "left_anti")
+    """Records that nobody sent to their partition with that content."""
+    return observed.join(invoked.select(*KEY, "fingerprint"), [*KEY, "fingerprint"], "left_anti")
 
 
 def fenced_visible(observed: DataFrame, fenced: DataFrame) -> DataFrame:
-    """Records of attempts that were refused as fenced."""
-    return observed.join(fenced.select("message_id"), "message_id", "left_semi")
+    """Records of attempts on their partition that were refused as fenced."""
+    return observed.join(fenced.select(*KEY), KEY, "left_semi")
 
 
 def lost(acknowledged: DataFrame, observed: DataFrame, rounds: DataFrame) -> DataFrame:

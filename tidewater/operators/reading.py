@@ -49,8 +49,10 @@ def start_record(log: DataFrame, ends: DataFrame, message_id, policy: str) -> Da
     return ends.select("partition").join(seen, "partition", "left").select("partition", F.when(code.isNull(), chosen).alias("start"), "first_offset", "last_offset", code.alias("error_code"))
 
 
-def start_checkpoint(ends: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """A checkpoint must name every partition read and nothing below the floor."""
+def start_checkpoint(ends: DataFrame, checkpoint: DataFrame, topic: str | None = None) -> DataFrame:
+    """A checkpoint must name every partition read, of the ``topic`` if that is given, and nothing
+    below the floor."""
+    checkpoint = checkpoint if topic is None else checkpoint.where(F.col("topic") == topic)
     code = F.when(F.col("position").isNull(), int(Error.UNKNOWN_SUBSCRIPTION)).when(F.col("position") < F.col("retained_from"), int(Error.RETENTION_GAP)).when(F.col("position") > F.col("next_offset"), int(Error.BEYOND_END))
     joined = ends.join(checkpoint.select("partition", F.col("next_offset").alias("position")), "partition", "left")
     return joined.select("partition", F.when(code.isNull(), F.col("position")).alias("start"), code.alias("error_code"))

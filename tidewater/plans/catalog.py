@@ -494,7 +494,8 @@ def seek_record_id_last(spark, d):
 def replay_from_checkpoint(spark, d):
     log = _log(spark, d)
     mark = reading.ends_of(log).select("partition", ((F.col("partition") + 1) * 100).cast("long").alias("next_offset"))
-    return _delivered(reading.replay(log, reading.start_checkpoint(reading.ends_of(log), mark)))
+    both = mark.withColumn("topic", F.lit("events")).unionByName(mark.select("partition", F.lit(7).cast("long").alias("next_offset"), F.lit("other").alias("topic")))
+    return _delivered(reading.replay(log, reading.start_checkpoint(reading.ends_of(log), both, "events")))
 
 
 @query(f'WITH {L} SELECT "partition", max("offset") + 1 AS next_offset FROM l GROUP BY 1')
@@ -700,10 +701,14 @@ def retention_plan(spark, d):
     return retention.plan(_segments(spark, d), _policies(spark, d), NOW)
 
 
-@query(f'WITH {G} SELECT "partition", id FROM g WHERE id = 2')
+@query(
+    f'WITH {G}, b AS (SELECT "partition", id, CASE WHEN id = 1 THEN 0 ELSE capacity END AS capacity, CASE WHEN id = 0 THEN false ELSE sealed END AS sealed, CASE WHEN id = 2 THEN 1 ELSE record_end END AS record_end, CASE WHEN id = 3 THEN 0 ELSE last_operation END AS last_operation FROM g), '
+    'n AS (SELECT *, lead(id) OVER w IS NULL AS newest, lag(record_end) OVER w AS e, lag(last_operation) OVER w AS o FROM b WINDOW w AS (PARTITION BY "partition" ORDER BY id)) SELECT "partition", id FROM n WHERE capacity <= 0 OR sealed = newest OR record_end < e OR last_operation < o'
+)
 def segment_violations(spark, d):
-    """Segments whose third has lost its records."""
-    s = _segments(spark, d).withColumn("record_end", F.when(F.col("id") == 2, F.lit(1)).otherwise(F.col("record_end")))
+    """The first is unsealed, the second has no capacity, the third has lost its records, the fourth its operations."""
+    n = F.col("id")
+    s = _segments(spark, d).withColumns({"capacity": F.when(n == 1, 0).otherwise(F.col("capacity")), "sealed": F.when(n == 0, False).otherwise(F.col("sealed")), "record_end": F.when(n == 2, 1).otherwise(F.col("record_end")), "last_operation": F.when(n == 3, 0).otherwise(F.col("last_operation"))})
     return retention.invalid_segments(s).select("partition", "id")
 
 
@@ -1118,17 +1123,18 @@ def oracle_lost_ack(spark, d):
     return consistency.lost(sent, read, rounds)
 
 
-@query(f'WITH {A} SELECT message_id FROM a WHERE arrival_seq % 250 = 0')
+@query(f'WITH {A} SELECT message_id FROM a WHERE arrival_seq % 250 = 0 OR arrival_seq % 350 = 0')
 def oracle_uninvoked(spark, d):
-    a = _attempts(spark, d).select("message_id", F.col("props").alias("fingerprint"))
-    seen = a.withColumn("fingerprint", F.when(F.col("message_id") % 250 == 0, "changed").otherwise(F.col("fingerprint")))
+    a = _attempts(spark, d).select("partition", "message_id", F.col("props").alias("fingerprint"))
+    seen = a.withColumn("fingerprint", F.when(F.col("message_id") % 250 == 0, "changed").otherwise(F.col("fingerprint"))).withColumn("partition", F.when(F.col("message_id") % 350 == 0, F.col("partition") + 1).otherwise(F.col("partition")))
     return consistency.uninvoked(seen, a).select("message_id")
 
 
 @query(f'WITH {A} SELECT message_id FROM a WHERE arrival_seq % 400 = 0')
 def oracle_fenced_visible(spark, d):
-    a = _attempts(spark, d).select("message_id")
-    return consistency.fenced_visible(a, a.where("message_id % 400 = 0"))
+    a = _attempts(spark, d).select("partition", "message_id")
+    refused = a.where("message_id % 200 = 0").withColumn("partition", F.when(F.col("message_id") % 400 == 0, F.col("partition")).otherwise(F.col("partition") + 1))
+    return consistency.fenced_visible(a, refused).select("message_id")
 
 
 @query("SELECT c_custkey AS request_id FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 11 = 0")
@@ -1308,3 +1314,23 @@ def retention_turn(spark, d):
 def snapshot_digest(spark, d):
     a = _attempts(spark, d).groupBy("producer_id").agg(F.max("arrival_seq").alias("op"))
     return retention.snapshot_digest(a, ["producer_id", "op"]).withColumn("digest", F.col("digest").cast("string"))
+
+
+@query(
+    "WITH p AS (SELECT c_nationkey % 4 AS pt, c_custkey AS id, c_nationkey AS epoch, c_custkey % 10 AS nxt FROM customer), r AS (SELECT *, id % 3 = 0 AND id % 5 <> 0 AS goes FROM p) "
+    'SELECT pt AS "partition", count(*) FILTER (NOT goes) AS sessions, greatest(max(CASE WHEN goes THEN epoch END), 2) AS retired_epoch FROM r GROUP BY 1'
+)
+def producer_retirement(spark, d):
+    """Every third session is seen idle, every fifth of them sends again before it is retired."""
+    p = topics.table(spark, d, "customer").select((F.col("c_nationkey") % 4).alias("partition"), F.col("c_custkey").alias("producer_id"), F.col("c_nationkey").alias("epoch"), (F.col("c_custkey") % 10).alias("next_sequence"))
+    seen = p.where("producer_id % 3 = 0").withColumn("next_sequence", F.col("next_sequence") - F.when(F.col("producer_id") % 5 == 0, 1).otherwise(0))
+    left = append.retire(p, seen).groupBy("partition").agg(F.count("*").alias("sessions"))
+    before = p.select("partition").distinct().withColumn("epoch", F.lit(2))
+    return left.join(append.retired_epochs(p, seen, before).withColumnRenamed("epoch", "retired_epoch"), "partition")
+
+
+@query("SELECT n_nationkey, coalesce(r_name, '?') || '/' || n_name AS label, lpad(CAST((n_nationkey * 7000) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n_nationkey * 7000) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n_nationkey * 7000) % 60 AS VARCHAR), 2, '0') AS uptime, CASE WHEN n_nationkey = 0 THEN '0' WHEN n_nationkey < 4 THEN printf('%.0f', n_nationkey * 250.0) WHEN n_nationkey < 40 THEN printf('%.2fk', n_nationkey * 0.25) END AS rate FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 3")
+def display_texts(spark, d):
+    n, r = topics.table(spark, d, "nation"), topics.table(spark, d, "region")
+    joined = n.join(r, (n.n_regionkey == r.r_regionkey) & (r.r_regionkey != 3), "left")
+    return joined.select("n_nationkey", scalars.group_label(F.col("r_name"), F.col("n_name")).alias("label"), scalars.uptime_text(F.col("n_nationkey") * 7_000_000).alias("uptime"), scalars.rate_text(F.col("n_nationkey") * 250.0).alias("rate"))
