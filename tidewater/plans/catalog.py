@@ -1329,8 +1329,8 @@ def producer_retirement(spark, d):
     return left.join(append.retired_epochs(p, seen, before).withColumnRenamed("epoch", "retired_epoch"), "partition")
 
 
-@query("SELECT n_nationkey, coalesce(r_name, '?') || '/' || n_name AS label, lpad(CAST((n_nationkey * 7000) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n_nationkey * 7000) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n_nationkey * 7000) % 60 AS VARCHAR), 2, '0') AS uptime, CASE WHEN n_nationkey = 0 THEN '0' WHEN n_nationkey < 4 THEN printf('%.0f', n_nationkey * 250.0) WHEN n_nationkey < 40 THEN printf('%.2fk', n_nationkey * 0.25) END AS rate FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 3")
+@query("SELECT n_nationkey, coalesce(r_name, '?') || '/' || n_name AS label, lpad(CAST((n_nationkey * 3000) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n_nationkey * 3000) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n_nationkey * 3000) % 60 AS VARCHAR), 2, '0') AS uptime, CASE WHEN n_nationkey = 0 THEN '0' WHEN n_nationkey < 4 THEN printf('%.0f', n_nationkey * 250.0) WHEN n_nationkey < 40 THEN printf('%.2fk', n_nationkey * 0.25) END AS rate FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 3")
 def display_texts(spark, d):
     n, r = topics.table(spark, d, "nation"), topics.table(spark, d, "region")
     joined = n.join(r, (n.n_regionkey == r.r_regionkey) & (r.r_regionkey != 3), "left")
-    return joined.select("n_nationkey", scalars.group_label(F.col("r_name"), F.col("n_name")).alias("label"), scalars.uptime_text(F.col("n_nationkey") * 7_000_000).alias("uptime"), scalars.rate_text(F.col("n_nationkey") * 250.0).alias("rate"))
+    return joined.select("n_nationkey", scalars.group_label(F.col("r_name"), F.col("n_name")).alias("label"), scalars.uptime_text(F.col("n_nationkey") * 3_000_000).alias("uptime"), scalars.rate_text(F.col("n_nationkey") * 250.0).alias("rate"))
