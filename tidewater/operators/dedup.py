@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.operators import ordering
 from tidewater.schemas import Error
+from tidewater.storage import written
 
 
 def logical_time(attempts: DataFrame, block: int = ordering.BLOCK) -> DataFrame:
@@ -43,13 +44,11 @@ def anchors(attempts: DataFrame, window_ms: int) -> DataFrame:
     span = WINDOWS * window_ms
     key = ["partition", "message_id"]
     blocked = attempts.withColumn("_block", F.floor(F.col("time") / span).cast("long"))
-    moments = blocked.groupBy(*key, "_block", "time").agg(F.min("arrival_seq").alias("first"))
     types = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
     named = f"partition {types['partition']}, message_id {types['message_id']}, _block long"
     between, over = f"{named}, enters long, exits long, first long", f"{named}, _time long, _anchor long"
     arrow = lambda ddl: to_arrow_schema(T.StructType.fromDDL(ddl))
-    several = moments.groupBy(*key).agg((F.min("_block") < F.max("_block")).alias("_several")).where("_several").select(*key)
-    dealt = moments.join(several, key, "left_semi").repartition(*key, "_block").sortWithinPartitions(*key, "_block", "time")
+    dealt = blocked.select(*key, "_block", "time", "arrival_seq").repartition(*key, "_block").sortWithinPartitions(*key, "_block", "time", "arrival_seq")
     entries = dealt.mapInArrow(_entries(window_ms, span, arrow(between)), between)
     carried = entries.repartition(*key).sortWithinPartitions(*key, "_block", "enters").mapInArrow(_carried(window_ms, arrow(over)), over)
     joined = blocked.join(carried, [*key, "_block"], "left")
@@ -63,55 +62,63 @@ def anchors(attempts: DataFrame, window_ms: int) -> DataFrame:
     return out.drop("_block", "_time", "_anchor")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """The rows of a sorted stream by their first columns."""
     rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
     for key, own in groupby(rows, lambda r: r[:keys]):
-        yield key, [r[keys:] for r in own]
+        yield key, (r[keys:] for r in own)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _entries(window_ms: int, span: int, schema: pa.Schema):
     """For each moment that an anchor from before may let through first: where the block ends up."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (partition, identity, block), rows in _groups(batches, 3):
-            times = np.array([t for t, _ in rows], np.int64)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (partition, identity, block), attempts in _groups(batches, 3):
+            own: list[tuple[int, int]] = []  # attempts of one moment share an anchor: its first stands for all
+            for t, arrival in attempts:
+                if not own or t != own[-1][0]:
+                    own.append((t, arrival))
+            times = np.array([t for t, _ in own], np.int64)
             after = np.searchsorted(times, times + window_ms).tolist()
-            last = list(range(len(rows)))
-            for i in range(len(rows) - 1, -1, -1):
-                last[i] = last[after[i]] if after[i] < len(rows) else i
+            last = list(range(len(own)))
+            for i in range(len(own) - 1, -1, -1):
+                last[i] = last[after[i]] if after[i] < len(own) else i
             first = int(np.searchsorted(times, block * span + window_ms))
-            out = [(partition, identity, block, rows[i][0], *rows[last[i]]) for i in range(min(first + 1, len(rows)))]
-            yield _batch(out, schema)
+            for i in range(min(first + 1, len(own))):
+                yield partition, identity, block, own[i][0], *own[last[i]]
 
-    return run
+    return lambda batches: _batches(rows(batches), schema)
 
 
 def _carried(window_ms: int, schema: pa.Schema):
     """The anchor that enters each block, block after block of an identity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         identity, anchor = None, None
-        for (*own, block), rows in _groups(batches, 3):
-            if own != identity:
-                identity, anchor = own, None
+        for (*key, block), entries in _groups(batches, 3):
+            own = list(entries)
+            if key != identity:
+                identity, anchor = key, None
             if anchor is not None:
-                yield _batch([(*own, block, *anchor)], schema)
-            at = 0 if anchor is None else bisect_left(rows, anchor[0] + window_ms, key=lambda r: r[0])
-            if at < len(rows):
-                anchor = rows[at][1:]
+                yield *key, block, *anchor
+            at = 0 if anchor is None else bisect_left(own, anchor[0] + window_ms, key=lambda r: r[0])
+            if at < len(own):
+                anchor = own[at][1:]
 
-    return run
+    return lambda batches: _batches(rows(batches), schema)
 
 
 def classify(attempts: DataFrame, window_ms: int, block: int = ordering.BLOCK) -> DataFrame:
     """Adds ``disposition`` (stored or duplicate) and ``offset``: its own for a stored attempt,
     the original's for a duplicate.  Only stored attempts take offsets."""
-    marked = anchors(logical_time(attempts, block), window_ms).withColumn("disposition", F.when(F.col("anchor") == F.col("arrival_seq"), "stored").otherwise("duplicate"))
+    timed = written(logical_time(attempts, block), "dedup-timed")
+    marked = anchors(timed, window_ms).withColumn("disposition", F.when(F.col("anchor") == F.col("arrival_seq"), "stored").otherwise("duplicate"))
+    marked = written(marked, "dedup-marked")
     stored = ordering.position(marked.where("disposition = 'stored'").select("partition", "arrival_seq"), ["partition"], "arrival_seq", "offset", block)
     original = stored.select(F.col("partition").alias("_p"), F.col("arrival_seq").alias("_a"), "offset")
     return marked.join(original, (F.col("partition") == F.col("_p")) & (F.col("anchor") == F.col("_a"))).drop("_p", "_a", "anchor")
