@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import shared_dir, text_of
+from tidewater.llm.common import materialise, shared_dir, text_of
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -137,7 +137,8 @@ def count(
     version = tokenizer_digest(path)
     cache = open_cache(spark, cache_path)
     encode_counts(misses(docs, cache, version, text_col), path, version).write.mode("append").parquet(cache_path)
-    stored = counts_of(spark.read.schema(CACHE_SCHEMA).parquet(cache_path), version)
+    # written, so that the join below has plain exchanges on both sides and a hot content can be split
+    stored = materialise(counts_of(spark.read.schema(CACHE_SCHEMA).parquet(cache_path), version), "token-counts")
     text = text_of(text_col)
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("content_digest"))
     return rows.join(stored, "content_digest", "left").select(id_col, "n_bytes", "n_tokens")
