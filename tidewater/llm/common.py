@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -13,20 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A local session (tests) without the setting gets a temporary folder, once; any other
-    must have it, since tables in a folder of one machine would be lost to the others.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidewater.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.tidewater.dir", path)
-    return path.rstrip("/")
+from tidewater.storage import shared_dir
 
 
 #: The tables that were written and not deleted yet, and the paths of those that somebody holds.
