@@ -340,3 +340,30 @@ def test_snapshots_are_verified(spark):
     for other in (rows.distinct(), rows.union(rows.limit(2)), rows.withColumn("op", F.col("op") + 1)):
         with pytest.raises(ValueError, match="stored"):
             retention.verified(other, ["k", "op"], stored)
+
+
+def test_fold_over_a_join_whose_rows_adaptive_execution_cuts(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rows = spark.range(0, 40_000, 1, 8).select((F.col("id") % 2).alias("k"), F.col("id").alias("at"))
+    step = lambda state, at: (state + 1, (state,))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for threshold in ("-1", "10m"):  # a join by sorting that is cut, and one that turns into a broadcast
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+            one = spark.range(0, 4000, 1, 2).select(F.col("id").alias("k"), F.lit(5).alias("x"))
+            folded = ordering.folded(rows.join(one, "k", "left"), ["k"], ["at"], ["at"], lambda at: 0, step, "place long")
+            assert sum(r.place != r["at"] // 2 for r in folded.collect()) == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_dedup_restore_goes_on_from_the_clock(spark):
+    """The latest time before the snapshot is a duplicate's, and time goes back after it."""
+    rows = [(0, 1), (9, 1), (1, 2), (11, 2), (3, 3), (18, 3), (19, 3)]
+    early, late = attempts(spark, rows).where("arrival_seq < 2"), attempts(spark, rows).where("arrival_seq >= 2")
+    done = dedup.classify(early, 10)
+    got = dedup.restored(dedup.live_identities(done, 10), dedup.clocks(done), late, 10)
+    assert [r.disposition for r in got.orderBy("arrival_seq").collect()] == [d for d, _ in outcomes(dedup.classify(attempts(spark, rows), 10))[2:]]

@@ -48,9 +48,9 @@ def anchors(attempts: DataFrame, window_ms: int) -> DataFrame:
     named = f"partition {types['partition']}, message_id {types['message_id']}, _block long"
     between, over = f"{named}, enters long, exits long, first long", f"{named}, _time long, _anchor long"
     arrow = lambda ddl: to_arrow_schema(T.StructType.fromDDL(ddl))
-    dealt = blocked.select(*key, "_block", "time", "arrival_seq").repartition(*key, "_block").sortWithinPartitions(*key, "_block", "time", "arrival_seq")
-    entries = dealt.mapInArrow(_entries(window_ms, span, arrow(between)), between)
-    carried = entries.repartition(*key).sortWithinPartitions(*key, "_block", "enters").mapInArrow(_carried(window_ms, arrow(over)), over)
+    moments = blocked.select(*key, "_block", "time", "arrival_seq")
+    entries = ordering.dealt(moments, [*key, "_block"], ["time", "arrival_seq"]).mapInArrow(_entries(window_ms, span, arrow(between)), between)
+    carried = ordering.dealt(entries, key, ["_block", "enters"]).mapInArrow(_carried(window_ms, arrow(over)), over)
     joined = blocked.join(carried, [*key, "_block"], "left")
 
     def step(state, time, arrival, entered, anchor):
@@ -174,12 +174,21 @@ def next_expiration(live: DataFrame, window_ms: int) -> DataFrame:
     return live.groupBy("partition").agg((F.min("time") + window_ms).alias("expires_ms"))
 
 
-def restored(snapshot: DataFrame, attempts: DataFrame, window_ms: int) -> DataFrame:
-    """Outcomes of attempts after a snapshot (``live_identities``): its rows stand before all, as
-    stored, and keep their offsets; new ones follow on from ``next_offset`` of nothing but them."""
-    before = snapshot.select("partition", "message_id", (F.col("offset") - EARLIER).alias("arrival_seq"), F.col("time").alias("append_ms"))
-    both = before.unionByName(attempts.select("partition", "message_id", "arrival_seq", "append_ms"))
-    marked = anchors(logical_time(both), window_ms).where("arrival_seq >= 0")
+def clocks(outcomes: DataFrame) -> DataFrame:
+    """``partition, time``: how far each partition's time has come, be it by a duplicate."""
+    return outcomes.groupBy("partition").agg(F.max("time").alias("time"))
+
+
+def restored(snapshot: DataFrame, clocks: DataFrame, attempts: DataFrame, window_ms: int) -> DataFrame:
+    """Outcomes of attempts after a snapshot (``live_identities`` and ``clocks``): its rows stand
+    before all, as stored, and keep their offsets; time goes on from the partition's clock; new
+    ones follow on from ``next_offset`` of nothing but them."""
+    before = snapshot.select("partition", "message_id", (F.col("offset") - EARLIER).alias("arrival_seq"), "time")
+    now = clocks.select(F.col("partition").alias("_p"), F.col("time").alias("_now"))
+    timed = logical_time(attempts.select("partition", "message_id", "arrival_seq", "append_ms"))
+    after = timed.join(now, F.col("partition").eqNullSafe(F.col("_p")), "left").withColumn("time", F.greatest("time", "_now"))
+    both = written(before.unionByName(after.select("partition", "message_id", "arrival_seq", "time")), "dedup-restored")
+    marked = anchors(both, window_ms).where("arrival_seq >= 0")
     known = F.when(F.col("anchor") < 0, F.col("anchor") + EARLIER)
     return marked.select("partition", "message_id", "arrival_seq", "time", F.when(F.col("anchor") == F.col("arrival_seq"), "stored").otherwise("duplicate").alias("disposition"), "anchor", known.alias("known_offset"))
 

@@ -79,6 +79,15 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, starts: Column, name
     return running(df, keys, order, starts.cast("long"), name, "sum", block)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of a key in one task, in order, for a function over the task's rows.
+
+    They are dealt by a hash of the key: where a join below deals by the key itself, Spark takes
+    an equal repartition for done, and adaptive execution, which doesn't see what the function
+    needs, may then cut the join's large partitions or read its rows where they were written."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable, step: Callable, added: str) -> DataFrame:
     """Adds the columns ``added`` (a schema), which ``step(state, *values)`` gives with the next
     state for every row of a key in order; ``start(*values)`` gives the state before the first.
@@ -99,4 +108,4 @@ def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Se
             new = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *extra.names])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt(df, keys, order).mapInArrow(run, schema)

@@ -1241,7 +1241,7 @@ def dedup_restore(spark, d):
     a = _attempts(spark, d).select("arrival_seq", "partition", F.concat_ws("/", "producer_id", "event_type").alias("message_id"), "append_ms")
     half = a.agg(F.max("arrival_seq")).first()[0] // 2
     early = dedup.classify(a.where(F.col("arrival_seq") < half), WINDOW)
-    return dedup.restored(dedup.live_identities(early, WINDOW), a.where(F.col("arrival_seq") >= half), WINDOW).select("partition", "arrival_seq", "disposition")
+    return dedup.restored(dedup.live_identities(early, WINDOW), dedup.clocks(early), a.where(F.col("arrival_seq") >= half), WINDOW).select("partition", "arrival_seq", "disposition")
 
 
 @query(None)
