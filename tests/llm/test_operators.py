@@ -173,6 +173,24 @@ def test_language_far_from_all_profiles(spark, docs):
     assert [r.doc_id for r in language.keep_known(rows, language.learn(docs)).collect()] == [4]
 
 
+def test_language_learns_from_every_row(spark):
+    """Counts and bounds against plain ones, on more rows than were drawn of a language once."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 6))) for _ in range(21_000)]
+    profiles = language.learn(spark.createDataFrame([(k, t, "xx") for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    every = language.ranked(np.concatenate([language.ngrams(t) for t in texts]), language.RANKS)
+    assert profiles.grams[np.argsort(profiles.ranks[0])].tolist() == every.tolist()
+    away = {}
+    for t in texts:
+        n, x = profiles.distances(t)
+        away.setdefault(language.size(n), []).append(float(x.min()))
+    for k, found in away.items():
+        if len(found) >= language.LEAST:
+            q = sorted(found)[-(-9 * len(found) // 10) - 1]
+            assert profiles.bounds[k] == q + language.BEYOND * (1 - q)
+
+
 def test_language_distance_by_brute_force():
     """Ranks and out-of-place distance as plain Python has them."""
 

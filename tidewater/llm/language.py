@@ -8,9 +8,9 @@ profile lacks the n-gram.  The language with the smallest distance is predicted.
 N-grams are one to three letters long, lower-cased, and don't cross a word; a word is
 padded with one blank at either end.  An n-gram is packed exactly into 64 bits.
 
-Profiles are learnt in Spark from at most about ``sample`` rows of each of the ``LANGUAGES``
-most frequent languages, drawn by a hash of id and text, so that copies of one text don't come
-together; only row counts and profiles (languages x ranks) reach the driver.
+Profiles are learnt in Spark from all rows of the ``LANGUAGES`` most frequent languages, and
+the bound of a distance is an exact decile over all of them; only row counts, profiles
+(languages x ranks) and histograms of distances reach the driver.
 
 Cases: null, empty and letterless texts are ``und`` with score 0; whole texts are ranked;
 ties between n-grams go to the smaller n-gram, between languages to the first by name (so
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -32,16 +33,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import map_batches, slices, text_of
+from tidewater.llm.common import map_batches, materialise, release, slices, text_of
 
-#: Ranks of a profile, n-grams of a document that are compared, rows of a language that teach, longest n-gram.
-RANKS, COMPARED, SAMPLE, LONGEST = 400, 300, 20_000, 3
+#: Ranks of a profile, n-grams of a document that are compared, longest n-gram.
+RANKS, COMPARED, LONGEST = 400, 300, 3
 #: The most frequent languages that have profiles; a column that holds anything has no more.
 LANGUAGES = 200
 UNKNOWN = "und"
 #: A text belongs to none of the languages if its smallest distance is beyond this share of the way
 #: from the ninth decile of the teaching documents' to 1; documents that give a bound of their own.
 BEYOND, LEAST = 0.4, 30
+#: Bins of a histogram of distances; the decile is looked for among the distances of its bin.
+BINS = 4096
 #: Stands for the blank in packed n-grams; not 0, so that n-grams of different lengths differ.
 BLANK = 1
 
@@ -118,17 +121,15 @@ def size(n: int) -> int:
     return n.bit_length() if n < COMPARED else COMPARED.bit_length() + 1
 
 
-def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, bounded: bool = True, id_col: str = "doc_id") -> Profiles:
+def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text", bounded: bool = True) -> Profiles:
     """Profiles from the rows for which ``teaches`` holds and that have a language; with bounds,
-    for which a quarter of the rows that teach are read once more, if ``bounded``."""
+    for which these rows are read once more, if ``bounded``."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (teaches if teaches is not None else F.lit(True)))
     lang = F.col(lang_col).cast("string")
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    frequent = [r[0] for r in rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    if not frequent:
         return Profiles((), np.empty(0, np.int64), np.empty((0, 0), np.int64))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n)))), lang)
-    chance = lambda salt, n: F.pmod(F.xxhash64(id_col, text_col, F.lit(salt)), F.lit(n))
-    drawn = rows.where(chance("profile", 1 << 20) < F.coalesce(share, F.lit(0.0)) * (1 << 20))
+    rows = rows.where(lang.isin(frequent))
 
     def count(batches):
         held: dict[str, dict[int, int]] = {}
@@ -146,7 +147,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
                 held = {}
         yield from _rows(held)
 
-    counted = drawn.select(lang, F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "lang string, gram long, n long")
+    counted = rows.select(lang, F.col(text_col).cast("string").alias("_text")).mapInArrow(count, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < RANKS).collect()
@@ -158,8 +159,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
     profiles = Profiles(languages, grams, ranks)
     if not bounded or not languages:
         return profiles
-    few = F.lit(sum(min(n, sample) for n in sizes.values()) <= 4 * sample // 10)  # all of a small table
-    return replace(profiles, bounds=bounds(drawn.where(few | (chance("bound", 4) == 0)), profiles, text_col))
+    return replace(profiles, bounds=bounds(rows, profiles, text_col))
 
 
 def bounds(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> tuple[float, ...]:
@@ -172,10 +172,31 @@ def bounds(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> tuple
         return pa.array([{"size": size(n), "away": float(a.min())} if n else None for n, a in found], pa.struct([("size", pa.int32()), ("away", pa.float64())]))
 
     measured = docs.select(nearest(text_of(text_col)).alias("x")).select("x.size", "x.away").where("size is not null")
-    by = {r["size"]: (r["n"], r["q"]) for r in measured.rollup("size").agg(F.count("*").alias("n"), F.percentile_approx("away", 0.9, 10_000).alias("q")).collect()}
-    whole = by.get(None, (0, None))[1]
-    decile = [by[k][1] if by.get(k, (0,))[0] >= LEAST else whole for k in range(size(COMPARED) + 1)]
-    return tuple(0.0 if q is None else q + BEYOND * (1 - q) for q in decile)
+    bin_of = F.floor(F.col("away") * BINS)
+    values = materialise(measured.groupBy("size", "away").agg(F.count("*").alias("n")), "language-distances")
+    try:
+        binned = values.groupBy("size", bin_of.alias("bin")).agg(F.sum("n").alias("n")).collect()
+        classes = [None, *sorted({r["size"] for r in binned})]  # None: all sizes
+        of = lambda rows, k: [r for r in rows if k is None or r["size"] == k]
+        count = {k: sum(r.n for r in of(binned, k)) for k in classes}
+        place = {k: (9 * count[k] + 9) // 10 for k in classes}  # from 1
+        at = {k: _reached(((r.bin, r.n) for r in of(binned, k)), place[k]) for k in classes if count[k]}
+        near = values.where(bin_of.isin(sorted({b for b, _ in at.values()}))).select("size", "away", "n", bin_of.alias("bin")).collect()
+    finally:
+        release(values)
+    decile = {k: _reached(((r.away, r.n) for r in of(near, k) if r.bin == b), place[k] - before)[0] for k, (b, before) in at.items()}
+    chosen = [decile.get(k if count.get(k, 0) >= LEAST else None) for k in range(size(COMPARED) + 1)]
+    return tuple(0.0 if q is None else q + BEYOND * (1 - q) for q in chosen)
+
+
+def _reached(counts: Iterable[tuple[float, int]], place: int) -> tuple[float, int]:
+    """The value at a place, from 1, among values that occur so often, and how many lie before it."""
+    before = 0
+    for value, n in sorted(counts):
+        if before + n >= place:
+            return value, before
+        before += n
+    raise ValueError("no such place")
 
 
 def _rows(held: dict[str, dict[int, int]]):
