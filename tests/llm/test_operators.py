@@ -191,6 +191,14 @@ def test_language_learns_from_every_row(spark):
             assert profiles.bounds[k] == q + language.BEYOND * (1 - q)
 
 
+def test_language_distances_are_computed_once(docs, monkeypatch):
+    """One pass through Python: two in a task need twice the workers, and their memory."""
+    plans, write = [], language.materialise
+    monkeypatch.setattr(language, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    language.learn(docs)
+    assert [len(re.findall("ArrowEvalPython|MapInArrow", p)) for p in plans] == [1]
+
+
 def test_language_distance_by_brute_force():
     """Ranks and out-of-place distance as plain Python has them."""
 

@@ -133,7 +133,7 @@ def learn(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
 
     def count(batches):
         held: dict[str, dict[int, int]] = {}
-        for b in slices(batches, 1_000_000):
+        for b in slices(batches, 500_000):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(ngrams(text))
@@ -166,12 +166,13 @@ def bounds(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> tuple
     """How far a text may be from its nearest language, by size; sizes of too few documents take the bound of all."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.arrow_udf(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("away", T.DoubleType())]))
-    def nearest(texts: pa.Array) -> pa.Array:
-        found = [shared.value.distances(t.as_py()) for t in texts]
-        return pa.array([{"size": size(n), "away": float(a.min())} if n else None for n, a in found], pa.struct([("size", pa.int32()), ("away", pa.float64())]))
+    def nearest(b: pa.RecordBatch) -> dict[str, object]:
+        found = [shared.value.distances(t) for t in b.column(0).to_pylist()]
+        return {"size": pa.array([size(n) if n else None for n, _ in found], pa.int32()), "away": pa.array([float(a.min()) if n else None for n, a in found], pa.float64())}
 
-    measured = docs.select(nearest(text_of(text_col)).alias("x")).select("x.size", "x.away").where("size is not null")
+    # not as a function of a column, which a condition on its result would have computed once more
+    added = [T.StructField("size", T.IntegerType()), T.StructField("away", T.DoubleType())]
+    measured = map_batches(docs.select(text_of(text_col).alias("_text")), nearest, added, []).where("size is not null")
     bin_of = F.floor(F.col("away") * BINS)
     values = materialise(measured.groupBy("size", "away").agg(F.count("*").alias("n")), "language-distances")
     try:
